@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeseek.llm._common import BoundedCache, doc_texts, documents, map_batches, per_process
 
 SPACE = "▁"
+_ONE = (1,)
 _SEGMENT = re.compile(r" +[^ ]*")
 
 
@@ -34,18 +35,27 @@ class PieceTable:
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.score = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
-        self.longest = max(map(len, self.score))
+        # Lengths of the pieces that end in two given characters, longest first, then 1.
+        lengths: dict[str, set[int]] = {}
+        for piece in self.score:
+            if len(piece) > 1:
+                lengths.setdefault(piece[-2:], {1}).add(len(piece))
+        self.ends = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items()}
         crossing = [p for p in self.score if SPACE in p.lstrip(SPACE)]
         if crossing:
             raise ValueError("pieces that run from a word into the next space are not supported")
+        # Merge order: characters are there from the start, then better scores first.
+        order = sorted((p for p in self.score if len(p) > 1), key=lambda p: -self.score[p])
+        self.rank = {c: -1 - k for k, c in enumerate({c for p in self.score for c in p})} | {p: k for k, p in enumerate(order)}
+        self.halves = {p: self._merge(p, 2) for p in self.score}
         self.apart: dict[tuple[str, str], bool] = {}
-        self.tables = BoundedCache(self._table, 300_000)
-        self.totals = BoundedCache(lambda segment: self.tables[segment][-1], 400_000)
+        self.tables = BoundedCache(self._table, 400_000)
+        self.totals = BoundedCache(lambda segment: self.tables[segment][0][-1], 1_000_000)
 
-    def _merge(self, text: str) -> list[str]:
-        """Plain BPE of a short string: best score first, leftmost on ties."""
+    def _merge(self, text: str, stop: int = 1) -> list[str]:
+        """Plain BPE of a short string: best score first, leftmost on ties; ``stop=2``: up to the last merge."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
@@ -57,37 +67,63 @@ class PieceTable:
         return parts
 
     def _stay_apart(self, left: str, right: str) -> bool:
+        """Whether encoding ``left + right`` gives just these two tokens.
+
+        Undo the merges of the two tokens, latest first; the pair fails if the parts that face each other at some
+        moment could have merged before the later of the merges undone so far.
+        """
         known = self.apart.get((left, right))
         if known is None:
             if len(self.apart) > 400_000:
                 self.apart.clear()
-            known = self.apart[left, right] = self._merge(left + right) == [left, right]
+            known = self.apart[left, right] = self._faces_apart(left, right) if left else len(right) == 1 or self._merge(right) == [right]
         return known
 
-    def _table(self, segment: str) -> list[int]:
-        """Token counts of the prefixes of a segment (after its first space), of 1 to all characters."""
+    def _faces_apart(self, left: str, right: str) -> bool:
+        rank, halves, limit = self.rank, self.halves, 1 << 60
+        while True:
+            joined = rank.get(left + right)
+            if joined is not None and joined < limit:
+                return False
+            if rank[left] > rank[right]:
+                if len(left) > 1:
+                    limit, left = rank[left], halves[left][-1]
+                    continue
+            elif len(right) > 1:
+                limit, right = rank[right] + 1, halves[right][0]
+                continue
+            if len(left) > 1:
+                limit, left = rank[left], halves[left][-1]
+            elif len(right) > 1:
+                limit, right = rank[right] + 1, halves[right][0]
+            else:
+                return True
+
+    def _table(self, segment: str) -> tuple[bytes | list[int], bytes]:
+        """For the prefixes of a segment (behind its first space) of 1 to all characters: token counts, and the
+        lengths of their last tokens (0: an unknown character, which never merges and counts its UTF-8 bytes)."""
         text = SPACE + segment.replace(" ", SPACE)
-        score, longest, apart = self.score, self.longest, self.apart
-        last, counts = [""], [0]
-        for i in range(1, len(text) + 1):
-            for n in range(min(i, longest), 0, -1):
+        score, ends, apart = self.score, self.ends, self.apart
+        stem = self.tables.get(segment[:-1]) if segment else None  # a word and the same word with a comma share a table
+        counts, last = [0, *(stem[0] if stem else ())], [0, *(stem[1] if stem else ())]
+        for i in range(len(counts), len(text) + 1):
+            for n in ends.get(text[max(i - 2, 0) : i], _ONE):
+                if n > i:
+                    continue
                 token = text[i - n : i]
                 if token in score:
-                    before = last[i - n]
-                    if before is None:  # an unknown character never merges; the token must stand on its own
-                        before = ""
-                    ok = apart.get((before, token))
-                    if ok is None:
-                        ok = self._stay_apart(before, token) if before else self._merge(token) == [token]
-                        apart[before, token] = ok
-                    if ok:
-                        last.append(token)
-                        counts.append(counts[i - n] + 1)
+                    j = i - n
+                    pair = (text[j - last[j] : j], token)
+                    ok = apart.get(pair)
+                    if ok or (ok is None and self._stay_apart(*pair)):
+                        last.append(n)
+                        counts.append(counts[j] + 1)
                         break
-            else:  # not in the vocabulary: one token per UTF-8 byte
-                last.append(None)
+            else:
+                last.append(0)
                 counts.append(counts[i - 1] + len(text[i - 1].encode()))
-        return counts[1:]
+        counts, last = counts[1:], bytes(last[1:])
+        return (bytes(counts) if max(counts) < 256 else counts), last
 
     @staticmethod
     def segments(text: str) -> list[str]:
@@ -105,7 +141,7 @@ class PieceTable:
         """Exact token count of ``text[:i]`` for i = 0 .. len(text)."""
         counts, before = [0], 0
         for k, segment in enumerate(self.segments(text) if text else ()):
-            table = self.tables[segment]
+            table = self.tables[segment][0]
             counts += [before + c for c in table[(k == 0) :]]
             before += table[-1]
         return counts
@@ -123,7 +159,7 @@ class PieceTable:
         for j, segment in enumerate(segments[: k + 1]):
             before = ends[j - 1] if j else 0
             if j >= k:
-                fits = [i for i, c in enumerate(self.tables[segment]) if before + c <= budget]
+                fits = [i for i, c in enumerate(self.tables[segment][0]) if before + c <= budget]
                 best = at + fits[-1] + 1 if fits else best
             at += 1 + len(segment)
             if j < k:
