@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,7 +97,7 @@ def slices(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = 8 <<
                 yield batch
             continue
         offsets = batch.column(text_at)
-        sizes = pa.compute.binary_length(offsets).to_pylist()
+        sizes = pc.binary_length(offsets).to_pylist()
         start, total = 0, 0
         for i, n in enumerate(sizes):
             total += n or 0
