@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeseek.llm.bpe import op6_bpe
 from lodeseek.llm.chat import op10_chat_format
+from lodeseek.llm.decontaminate import op7_decontaminate
+from lodeseek.llm.quality import op9_quality
 from lodeseek.llm.secret_scan import op8_secret_scan
+from lodeseek.llm.token_binary import op5_token_binary
 from lodeseek.llm.token_counts import op1_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op5_token_binary": op5_token_binary,
         "op6_bpe": op6_bpe,
+        "op7_decontaminate": op7_decontaminate,
         "op8_secret_scan": op8_secret_scan,
+        "op9_quality": op9_quality,
         "op10_chat_format": op10_chat_format,
     }
 
