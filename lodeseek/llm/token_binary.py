@@ -11,7 +11,9 @@ decoded in step, so the loop runs ``STRIDE`` times a block however long it is.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm._common import Scratch, arrow_schema, doc_texts, documents, map_batches, per_process
+from lodeseek.llm._common import BoundedCache, Scratch, arrow_schema, doc_texts, documents, map_batches, per_process
+from lodeseek.llm.bpe import byte_symbols
 
 STRIDE = 64
 BLOCK_TOKENS = 1 << 18
@@ -145,16 +148,20 @@ class Codec:
 
 
 class LibraryEncoder:
-    """Ids of the tokenizers library.  A stretch between single spaces is encoded once and kept.
+    """Ids of the tokenizers library.  A stretch between single spaces is encoded once and kept, and so are its words.
 
     In byte-level BPE a space belongs to the word behind it, so texts with single spaces fall apart before each
-    space; runs of spaces and special strings, where this does not hold, go to the library as they are.
+    space; runs of spaces and special strings, where this does not hold, go to the library as they are.  So do
+    stretches beyond the Latin blocks, where Unicode versions may split differently; of the others, each new word
+    goes to the library's model.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 500_000):
+    def __init__(self, tokenizer_file: str, most: int = 450_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -162,38 +169,35 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.code = "I" if self.wide else "H"
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        self.model = self.tokenizer.model
+        self.plain = re.compile("[\t\n\r -~\xa0-\u024f]*").fullmatch
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.symbols = {b: s for b, s in byte_symbols().items() if chr(b) != s}
+        self.words = BoundedCache(self._word, 250_000)
+        self.chunks = BoundedCache(self._chunk, most)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        code = "I" if self.wide else "H"
-        from array import array
+    def _word(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes()
 
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a stretch that follows a space."""
+        chunk = " " + chunk
+        return b"".join(map(self.words.__getitem__, self.split(chunk))) if self.plain(chunk) else self._library(chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (``dtype``) of each text, without the end id."""
-        known, parts, whole, new = self.known, [], [], set()
-        for k, text in enumerate(texts):
-            if not text or "  " in text or any(s in text for s in self.special):
-                parts.append(None)
-                if text:
-                    whole.append(k)
-                continue
-            chunks = text.split(" ")
-            chunks[1:] = [" " + c for c in chunks[1:]]
-            parts.append(chunks)
-            new.update(c for c in chunks if c not in known)
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new.update(c for p in parts if p for c in p)
-            new = list(new)
-            known.update(zip(new, self._encode(new)))
-        out = [b"".join(map(known.__getitem__, p)) if p else b"" for p in parts]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
-            out[k] = ids
+        out, known, special = [], self.chunks.__getitem__, self.special
+        for text in texts:
+            if "  " in text or any(s in text for s in special):
+                out.append(self._library(text))
+            else:
+                first, *rest = text.split(" ")
+                out.append(b"".join([self._library(first), *map(known, rest)]))
         return out
 
 
