@@ -203,6 +203,21 @@ def bpe_decode(encoded: DataFrame, tokenizer_file: str, to_text: bool = False) -
     return map_batches(encoded.select(encoded["doc_id"].cast("long").alias("doc_id"), ids.alias("ids")), make, "doc_id long, text string")
 
 
+def bpe_pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Like ``bpe_encode`` but doc_id, n_tokens and the ids packed as little-endian unsigned 32-bit integers."""
+
+    def make():
+        bpe = word_bpe(tokenizer_file)
+
+        def work(batch):
+            ids = [bpe.encode_with_text(t)[0] for t in batch.column(1).to_pylist()]
+            return {"doc_id": batch.column(0), "n_tokens": [len(i) // 4 for i in ids], "ids": ids}
+
+        return work
+
+    return map_batches(doc_texts(docs, id_col, text_col), make, "doc_id long, n_tokens long, ids binary")
+
+
 def bpe_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Like ``bpe_encode`` but with digests in place of ids and decoded text, so that nothing large leaves Python."""
 

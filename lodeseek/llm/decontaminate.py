@@ -21,6 +21,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,19 +227,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, overlap: fl
     return docs.sparkSession.createDataFrame([], ddl) if out is None else out
 
 
+def _leaking(held, overlap: float):
+    def leaking(texts):
+        return pa.array([bool(t) and bool(scan_text(held.value, t, overlap)) for t in texts.to_pylist()], type=pa.bool_())
+
+    return F.arrow_udf(leaking, "boolean", F.ArrowUDFType.SCALAR)
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, overlap: float = 0.8, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns, as they are) whose whole text leaks no item."""
-    import pandas as pd
-
     context = docs.sparkSession.sparkContext
     for index in _shards(benchmark, least):
         held = context.broadcast(index)
 
-        @F.pandas_udf("boolean")
-        def leaking(texts: pd.Series, held=held) -> pd.Series:
-            return pd.Series([bool(t) and bool(scan_text(held.value, t, overlap)) for t in texts], dtype="bool")
-
-        docs = docs.where(~leaking(docs[text_col].cast("string")))
+        docs = docs.where(~_leaking(held, overlap)(docs[text_col].cast("string")))
     return docs
 
 

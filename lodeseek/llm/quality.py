@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,16 +184,14 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: OrdinalModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns, as they are) whose P(grade >= 2) is at least ``least``."""
-    import pandas as pd
-
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
-    @F.pandas_udf("double")
-    def p_good(texts: pd.Series) -> pd.Series:
+    def p_good(texts):
         weights, thresholds = held.value
         fitted, tokens = OrdinalModel(weights.astype(np.float64), thresholds), _tokens()
-        return pd.Series(fitted.tails(fitted.score([features(t or "", tokens) for t in texts]))[:, -1]) if len(texts) else pd.Series([], dtype="float64")
+        return pa.array(fitted.tails(fitted.score([features(t or "", tokens) for t in texts.to_pylist()]))[:, -1] if len(texts) else [], type=pa.float64())
 
+    p_good = F.arrow_udf(p_good, "double", F.ArrowUDFType.SCALAR)
     return docs.where(p_good(docs[text_col].cast("string")) >= least)
 
 

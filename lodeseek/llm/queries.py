@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeseek.llm.ann import op3_nearest
 from lodeseek.llm.bpe import op6_bpe
 from lodeseek.llm.chat import op10_chat_format
 from lodeseek.llm.decontaminate import op7_decontaminate
 from lodeseek.llm.quality import op9_quality
 from lodeseek.llm.secret_scan import op8_secret_scan
+from lodeseek.llm.simhash import op4_simhash
+from lodeseek.llm.suffix_dedup import op2_suffix_dedup
 from lodeseek.llm.token_binary import op5_token_binary
 from lodeseek.llm.token_counts import op1_token_counts
 
@@ -18,6 +21,9 @@ from lodeseek.llm.token_counts import op1_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_nearest": op3_nearest,
+        "op4_simhash": op4_simhash,
         "op5_token_binary": op5_token_binary,
         "op6_bpe": op6_bpe,
         "op7_decontaminate": op7_decontaminate,
