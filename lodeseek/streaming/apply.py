@@ -35,10 +35,10 @@ def fold(state: DataFrame, messages: DataFrame) -> DataFrame:
         F.max_by("last_operation", F.when(F.col("last_operation").isNotNull(), at)).alias("last_operation"),
         F.max("has_insert").alias("has_insert"),
         F.max(at).alias("at"),
-        F.array_sort(F.collect_list(F.when(F.size("values") > 0, F.struct("file_no", "block_id", "values")))).alias("sets"),
+        F.array_sort(F.collect_list(F.when(F.size("values") > 0, F.struct("file_no", "block_id", F.map_entries("values").alias("entries"))))).alias("sets"),
     )
     # Later values win: entries are merged in position order, and of equal keys the last is kept.
-    entries = F.flatten(F.transform("sets", lambda s: F.map_entries(s["values"])))
+    entries = F.flatten(F.transform("sets", lambda s: s["entries"]))
     merged = F.aggregate(entries, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<long>")), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
     kept = acted.where("has_insert or size(sets) > 0")
     return kept.select("doc_id", "last_operation", "has_insert", F.col("at.file_no").alias("file_no"), F.col("at.block_id").alias("block_id"), merged.alias("values"))
