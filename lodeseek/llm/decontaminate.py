@@ -5,8 +5,8 @@ is a query.  Impacts are divided by the item's own score (the score of the item'
 threshold, a share of that own score, holds for all items and "all above the threshold" is exact:
 passages whose essential terms (those that no item reaches the threshold without) sum to too little are
 passed over, then those whose largest impacts in every range of items do; posting lists are cut into blocks with their largest impacts, and a block is opened only if those
-largest impacts reach the threshold.  Hits are verified by the overlap of word 5-shingles, of the
-question (all but the last sentence) and of the answer (the last sentence).
+largest impacts reach the threshold.  Hits are verified by the overlap of word 5-shingles of
+the whole item; the overlaps of its question (all but the last sentence) and its answer are reported.
 
 The index is broadcast in shards of bounded size (``SHARD`` items): a larger benchmark takes more
 shards, one pass over the documents each, never a larger broadcast.
@@ -55,7 +55,8 @@ class Index:
     items: list[int | None]
     postings: dict[str, tuple[list[int], list[float], list[int], list[float]]]
     largest: dict[str, float]
-    shingles: list[tuple[frozenset, frozenset]]
+    #: Shingles of each item, of its question and of its answer.
+    shingles: list[tuple[frozenset, frozenset, frozenset]]
     words: int
     least: float
     #: Essential terms: their rows in the matrix of largest impacts by range of items (of items that need them),
@@ -107,7 +108,7 @@ class Index:
         parts = []
         for _, text in items:
             question, answer = split_answer(text or "")
-            parts.append((frozenset(shingles(WORDS.findall(question.lower()))), frozenset(shingles(WORDS.findall(answer.lower())))))
+            parts.append(tuple(frozenset(shingles(WORDS.findall(x.lower()))) for x in (text or "", question, answer)))
         return cls([i for i, _ in items], postings, {w: max(p[1]) for w, p in postings.items()}, parts, max(map(len, texts), default=0), least, essential, essential_max, need - 1e-4, {w: r for r, w in enumerate(found)}, range_max)
 
     def search(self, terms: set[str], least: float) -> list[tuple[int, float]]:
@@ -175,15 +176,22 @@ def scan_text(index: Index, text: str, overlap: float) -> list[tuple[int | None,
                 best[i] = score
     if not best:
         return []
-    have = shingles(words)
+    have: dict[int, set] = {}
+
+    def held(part: frozenset) -> float:
+        """The share of a part's shingles that the text has; parts of under five words are sequences of their own length."""
+        if not part:
+            return 1.0
+        n = len(next(iter(part)))
+        if n not in have:
+            have[n] = shingles(words, n)
+        return len(part & have[n]) / len(part)
+
     out = []
     for i, score in best.items():
-        question, answer = index.shingles[i]
-        whole = question | answer
-        q = len(question & have) / len(question) if question else 1.0
-        a = len(answer & have) / len(answer) if answer else 1.0
-        if whole and len(whole & have) >= overlap * len(whole):
-            out.append((index.items[i], score, q, a))
+        whole, question, answer = index.shingles[i]
+        if held(whole) >= overlap:
+            out.append((index.items[i], score, held(question), held(answer)))
     return out
 
 
