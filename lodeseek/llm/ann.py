@@ -55,11 +55,14 @@ class Block:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
         _, first, group = np.unique(vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        # Of equal vectors, only the k + 1 smallest ids can be among a query's k nearest.
+        # Of equal vectors, only the k + 1 smallest ids can be among a query's k nearest; rows that repeat both go.
         by_group = np.argsort(group, kind="stable")
-        size = np.bincount(group, minlength=len(first))
+        same = (np.diff(group[by_group], prepend=-1) == 0) & (np.diff(ids[by_group], prepend=0) == 0)
+        by_group = by_group[~same]
+        self.repeated = len(np.unique(ids)) < len(by_group)  # one id with several vectors
+        size = np.bincount(group[by_group], minlength=len(first))
         start = np.cumsum(size) - size
-        kept = (np.arange(len(group)) - np.repeat(start, size)) <= k
+        kept = (np.arange(len(by_group)) - np.repeat(start, size)) <= k
         self.members = ids[by_group[kept]]
         size = np.minimum(size, k + 1)
         self.start, self.size, self.k = np.cumsum(size) - size, size, k
@@ -74,13 +77,15 @@ class Block:
         self.perm = np.argsort(projected, axis=1).astype(np.int32)
         self.sorted = np.take_along_axis(projected, self.perm, axis=1)
         self.unit = float(np.sqrt(norms.max() / (dim + 1))) or 1.0
+        self.length = float(np.sqrt(norms.max()))
         self.wanted = min(n, max(LEAST, int(CANDIDATES * n), 2 * k))
 
     def candidates(self, query: np.ndarray) -> np.ndarray:
         n = len(self.vectors)
         if self.wanted >= n:
             return np.arange(n)
-        at = np.append(query, 0.0) @ self.directions
+        # A query's length does not change the order; at the longest vector's length, near and far are furthest apart.
+        at = np.append(query * (self.length / np.sqrt((query * query).sum())), 0.0) @ self.directions
         counts = np.zeros(n, dtype=np.uint8)
         need = int(np.ceil(SHARE * len(at)))
         low = high = [int(np.searchsorted(row, x)) for row, x in zip(self.sorted, at)]
@@ -108,7 +113,7 @@ class Block:
         query = query.astype(np.float64)
         found = self.candidates(query)
         scores = (self.vectors[found] * query).sum(axis=1)
-        if len(found) > self.k + 1:
+        if len(found) > self.k + 1 and not self.repeated:
             keep = scores >= np.partition(scores, len(scores) - self.k - 1)[len(scores) - self.k - 1]
             found, scores = found[keep], scores[keep]
         size = self.size[found]
@@ -116,7 +121,10 @@ class Block:
         ids, scores = self.members[at], np.repeat(scores, size)
         other = ids != query_id
         ids, scores = ids[other], scores[other]
-        best = np.lexsort((ids, -scores))[: self.k]
+        best = np.lexsort((ids, -scores))
+        if self.repeated:
+            best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+        best = best[: self.k]
         return ids[best], scores[best]
 
 
