@@ -33,5 +33,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP2_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS p FROM b WHERE n >= 200)),
+r AS (SELECT doc_id, p FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+i AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM i),
+sp AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS z FROM g GROUP BY doc_id, s),
+k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM sp
+  UNION ALL SELECT b.doc_id, coalesce(max(z), 0), any_value(n) FROM b LEFT JOIN sp ON sp.doc_id = b.doc_id GROUP BY b.doc_id)
+SELECT b.doc_id, CAST(any_value(n) AS BIGINT) AS n_bytes, CAST(any_value(n) - sum(t - f) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f))) AS kept_sha256
+FROM b JOIN k ON k.doc_id = b.doc_id GROUP BY b.doc_id
+"""
+
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, chr(92), '')) + len(regexp_extract_all({0}, '<s>|</s>|\\[INST\\]|\\[/INST\\]|\\[TURN\\]|\\[TEXT\\]'))"
+OP10_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(7 + sum(12 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")} + CASE role WHEN 'assistant' THEN 0 ELSE 13 END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are beyond SQL (tokenizers, XXH64, a fitted model, an approximate search, Java's regular expressions
+    with look-behind): tests hold them against brute force."""
+    return {"op2_suffix_dedup": OP2_SQL, "op10_chat_format": OP10_SQL}
