@@ -51,10 +51,11 @@ class SearchQuery:
         rows = weight_merge(postings, self.terms, self.candidates)
         if live is not None:
             rows = rows.join(live.where("visible").select("doc_id"), "doc_id", "left_semi")
-        # At most `candidates` rows are left, so they are the side to send.
-        rows = F.broadcast(rows) if self.candidates <= CANDIDATES else rows
-        names = [c for c in attributes.columns if c != "doc_id"]
-        rows = attributes.join(rows, "doc_id", "right").na.fill(0, names).select("doc_id", "weight", *names) if self.candidates <= CANDIDATES else attr_lookup(rows, attributes)
+        if self.candidates <= CANDIDATES:
+            # At most that many documents are left: they are sent to the attributes, and the few found come back, so
+            # the attribute table is scanned but never shuffled.
+            attributes = F.broadcast(attributes.join(F.broadcast(rows.select("doc_id")), "doc_id", "left_semi"))
+        rows = attr_lookup(rows, attributes)
         return ranking(apply_filters(rows, self.filters), self.ranking)
 
     def page(self, matched: DataFrame) -> DataFrame:
