@@ -17,6 +17,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,21 +99,25 @@ def fit(rows: list[list[int]], grades: list[int], steps: int = 400, l2: float =
 
     Without rows, or with one grade only, every score is zero and the thresholds follow the counts.
     """
-    y = np.asarray(grades, dtype=np.int64)
+    flat = np.concatenate([np.asarray(r, dtype=np.int32) for r in rows]) if rows else np.empty(0, dtype=np.int32)
+    return fit_arrays(flat, np.array([len(r) for r in rows], dtype=np.int64), np.asarray(grades, dtype=np.int64), steps, l2, rate, least_z)
+
+
+def fit_arrays(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 1e-4, rate: float = 0.08, least_z: float = 4.0) -> OrdinalModel:
+    """``fit`` on the documents' features one after another, with each document's number of them."""
     freq = np.array([(np.sum(y < k) + 0.5) / (len(y) + 1) for k in range(1, GRADES)])
     theta = np.log(freq / (1 - freq))
     weights = np.zeros(1 << BITS)
-    if len(set(grades)) < 2:
+    if len(np.unique(y)) < 2:
         return OrdinalModel(weights, theta)
-    flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     z = np.zeros(1 << BITS)
     for k in range(1, GRADES):
         residual = (y >= k) - np.mean(y >= k)
         spread = np.sqrt(np.bincount(flat, minlength=1 << BITS) * max(np.var(residual), 1e-12)) + 0.5
         z = np.maximum(z, np.abs(np.bincount(flat, weights=residual[row], minlength=1 << BITS)) / spread)
     used = np.flatnonzero(z >= least_z)
-    column = np.full(1 << BITS, -1)
+    column = np.full(1 << BITS, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
     flat = column[flat]
     row, flat = row[flat >= 0], flat[flat >= 0]
@@ -158,7 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         return lambda batch: {"doc_id": batch.column(0), "grade": batch.column(2), "features": [sorted(features(t, tokens)) for t in batch.column(1).to_pylist()]}
 
     got = map_batches(texts, make, "doc_id long, grade int, features array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    return fit(got.column("features").to_pylist()[: 2 * sample], got.column("grade").to_pylist()[: 2 * sample])
+    got = got.slice(0, 2 * sample).combine_chunks()
+    found = got.column("features")
+    flat = [chunk.flatten().to_numpy() for chunk in found.chunks]
+    sizes = pc.list_value_length(found).to_numpy()
+    return fit_arrays(np.concatenate(flat) if flat else np.empty(0, dtype=np.int32), sizes.astype(np.int64), got.column("grade").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
