@@ -69,6 +69,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once nothing that reads them is left to run."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

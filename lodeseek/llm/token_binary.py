@@ -237,8 +237,8 @@ BLOCK_DDL = "part int, block int, before long, n_ids long, doc_ids array<long>,
 def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 16) -> TokenFiles:
     """Encode every text, append ``end_id``, and write the ids in ascending doc_id order.
 
-    Null texts count as empty (just the end id); null ids come first; rows with the same id stand side by side, by
-    their ids' bytes; an empty table gives no blocks; other columns are ignored.  Two passes: encode into a scratch
+    Null texts count as empty (just the end id); null ids come first; rows with the same id stand side by
+    side; an empty table gives no blocks; other columns are ignored.  Two passes: encode into a scratch
     table, then sort by ranges of doc_id and pack with the code of the global counts.  Only the counts by id, whose
     number the vocabulary bounds, come to the driver.
     """
