@@ -11,7 +11,7 @@ from lodeseek.llm.bpe import op6_bpe
 from lodeseek.llm.chat import op10_chat_format
 from lodeseek.llm.decontaminate import op7_decontaminate
 from lodeseek.llm.quality import op9_quality
-from lodeseek.llm.secret_scan import op8_secret_scan
+from lodeseek.llm.secret_scan import ENDPOINT, op8_secret_scan
 from lodeseek.llm.simhash import op4_simhash
 from lodeseek.llm.suffix_dedup import op2_suffix_dedup
 from lodeseek.llm.token_binary import op5_token_binary
@@ -59,7 +59,41 @@ FROM t GROUP BY conv_id
 """
 
 
+def _spans_sql(name: str, pattern: str, kind: int, keep: str, group: int = 0) -> str:
+    """CTEs that end in ``name`` (doc_id, k, s, e): the matches of a pattern, from the pieces between them."""
+    pattern = pattern.replace("'", "''")
+    return f"""{name}_m AS (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS g FROM d WHERE regexp_matches(t, '{pattern}')),
+{name}_i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {name}_m),
+{name} AS (SELECT doc_id, {kind} AS k, s, s + n AS e FROM (SELECT doc_id, m[i] AS x, v[i] AS w, length(m[i]) AS n,
+  list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS s FROM {name}_i) WHERE {keep})"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYS = "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) + "|" + _either_case("api") + "_?" + _either_case("key")
+_NEAR = "{0}.doc_id = {1}.doc_id AND {0}.s - {1}.e <= 400 AND {1}.s - {0}.e <= 400"
+_JOINED = "string_agg(['assign', 'access', 'hex', 'secret', 'endpoint'][k + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k, e)"
+#: A bare secret, which the operator finds with look-around, is a maximal run of the wider class that fits the narrower one.
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_spans_sql("a", f"""({_KEYS})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 0, "length(w) >= 6", 2)},
+{_spans_sql("b", "AKIA[A-Z0-9]+", 1, "n >= 20")},
+{_spans_sql("c", "[0-9a-f]{24,}", 2, "n >= 24")},
+{_spans_sql("f", "[A-Za-z0-9+/=_-]{40,}", 3, "n = 40 AND regexp_full_match(x, '[A-Za-z0-9+/]{40}')")},
+{_spans_sql("u", ENDPOINT, 4, "true")},
+base AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c),
+secrets AS (SELECT DISTINCT f.* FROM f JOIN b ON {_NEAR.format("f", "b")}),
+strong AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM secrets),
+found AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM secrets UNION ALL SELECT DISTINCT u.*, false FROM u JOIN strong ON {_NEAR.format("u", "strong")})
+SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  sha256(coalesce({_JOINED} FILTER (WHERE is_base), '')) AS base_sha256, coalesce({_JOINED} FILTER (WHERE k IS NOT NULL), '') AS spans
+FROM d LEFT JOIN found ON found.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The others are beyond SQL (tokenizers, XXH64, a fitted model, an approximate search, Java's regular expressions
-    with look-behind): tests hold them against brute force."""
-    return {"op2_suffix_dedup": OP2_SQL, "op10_chat_format": OP10_SQL}
+    """The others are beyond SQL (tokenizers, XXH64, a fitted model, an approximate search): tests hold them against
+    brute force."""
+    return {"op2_suffix_dedup": OP2_SQL, "op8_secret_scan": OP8_SQL, "op10_chat_format": OP10_SQL}
