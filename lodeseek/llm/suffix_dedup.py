@@ -12,7 +12,10 @@ corpus order is needed to that depth only.  It is built in the manner of prefix-
    its suffixes repeats.  Both follow from counts, and most of the corpus is settled here.
 3. Order of suffixes.  Where one trigger has several entries, the suffixes inside these entries (each entry once,
    however often the parse has it) are ranked by trigger and depth-limited hash, which puts equal ones side by
-   side exactly as a suffix array of the dictionary would; the parse's counts are their multiplicities.
+   side exactly as a suffix array of the dictionary would; the parse's counts are their multiplicities.  Groups of
+   ``STEP`` suffixes are ranked first, by the bytes that all of them share: a group alone in its rank holds no
+   repeat, one whose rank holds it alike is all repeats, and only the others, at the ends of matches, are ranked
+   suffix by suffix.
 
 Ranks are equality classes (64-bit hash within a 64-bit trigger), not lexicographic: a suffix array sorted into
 one order would need every suffix in one range-partitioned sort, while classes aggregate before they are shuffled.
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 from lodeseek.llm._common import Scratch, arrow_schema, documents, slices
 
 LENGTH = 200
-GRAM = 32
+GRAM = 100
+STEP = 8
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,8 +92,14 @@ def phrases(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
 
     ``first`` is a phrase's first suffix in ``data`` and ``number`` its number of suffixes.
     """
+    return _phrases(data, ends, length, gram)[:4]
+
+
+def _phrases(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """``phrases`` and, fifth, how far the trigger lies behind the first suffix's start."""
+    gram = min(gram, (length + 1) // 2)
     if len(data) < length:
-        return tuple(np.empty(0, dtype=d) for d in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, dtype=d) for d in (np.int64, np.int64, np.uint64, np.uint64, np.int64))
     rolling = Rolling(data)
     grams = rolling.grams(gram)
     keys = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
@@ -98,7 +108,7 @@ def phrases(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     at = at[owner[at] == owner[at + length - 1]]
     if not len(at):
-        return phrases(data[:0], ends, length, gram)
+        return _phrases(data[:0], ends, length, gram)
     trigger = least[at].astype(np.int64)
     new = np.flatnonzero((np.diff(trigger, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1) | (np.diff(owner[at], prepend=-1) != 0))
     first, last = at[new], at[np.append(new[1:] - 1, len(at) - 1)]
@@ -106,7 +116,7 @@ def phrases(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     entry = rolling.of(first, last + length)
     # Where the phrase lies around its trigger is a part of the entry.
     entry = _mix(entry ^ ((where - first).astype(np.uint64) << np.uint64(32)) ^ (last - where + length).astype(np.uint64))
-    return first, last - first + 1, grams[where], entry
+    return first, last - first + 1, grams[where], entry, where - first
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -176,52 +186,80 @@ def _spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFram
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     source = scratch.keep(source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "source")
 
-    schema, arrow = arrow_schema("rid long, p int, n int, g long, r long")
+    schema, arrow = arrow_schema("rid long, p int, n int, o short, g long, r long")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in _pieces(batches, 1):
             rids, starts = batch.column(0).to_numpy(), np.concatenate([[0], ends[:-1]])
             for base, part, cut in _chunks(data, ends, length):
-                first, number, trigger, entry = phrases(part, cut, length)
+                first, number, trigger, entry, behind = _phrases(part, cut, length, GRAM)
                 first = first + base
                 doc = np.searchsorted(ends, first, side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(rids[doc]), pa.array((first - starts[doc]).astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(trigger.view(np.int64)), pa.array(entry.view(np.int64))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(rids[doc]), pa.array((first - starts[doc]).astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(behind.astype(np.int16)), pa.array(trigger.view(np.int64)), pa.array(entry.view(np.int64))], schema=arrow)
 
     parsed = scratch.keep(source.select("rid", "text").where(F.octet_length("text") >= length).mapInArrow(parse, schema), "parse")
     # Triggers that occur twice at least, and whether they have more than one entry.
     triggers = scratch.keep(parsed.groupBy("g").agg(F.count("*").alias("c"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("c > 1").select("g", (F.col("r0") != F.col("r1")).alias("mixed")), "triggers")
     repeated = scratch.keep(parsed.join(triggers, "g"), "repeated")
-    entries = scratch.keep(repeated.where("mixed").groupBy("g", "r").agg(F.count("*").alias("c"), F.min(F.struct("rid", "p", "n")).alias("one")), "entries")
     scratch.drop("parse", "triggers")
-    settled = repeated.where("not mixed").select("rid", "p", "n").unionByName(repeated.where("mixed").select("rid", "p", "n", "g", "r").join(entries.where("c > 1").select("g", "r"), ["g", "r"]).select("rid", "p", "n"))
+    entries = scratch.keep(repeated.where("mixed").groupBy("g", "r").agg(F.count("*").alias("c"), F.min(F.struct("rid", "p", "n", "o")).alias("one")), "entries")
+    twice = entries.where("c > 1").select("g", "r")
+    settled = scratch.keep(repeated.where("not mixed").select("rid", "p", "n").unionByName(repeated.where("mixed").select("rid", "p", "n", "g", "r").join(twice, ["g", "r"]).select("rid", "p", "n")), "settled")
+    scratch.drop("repeated")
 
-    # Suffixes of the dictionary entries of mixed triggers, each entry once.
-    wanted = entries.select("one.rid", F.struct(F.col("one.p").alias("p"), F.col("one.n").alias("n"), "g", F.col("c")).alias("x")).groupBy("rid").agg(F.collect_list("x").alias("xs"))
-    suffix_schema, suffix_arrow = arrow_schema("g long, h long, c int, rid long, p int")
+    # Suffixes of the dictionary entries of mixed triggers, each entry once, in groups of STEP by distance to the trigger.
+    wanted = entries.select("one.rid", F.struct(F.col("one.p").alias("p"), F.col("one.n").alias("n"), F.col("one.o").alias("o"), "g", F.least("c", F.lit(2)).alias("c")).alias("x")).groupBy("rid").agg(F.collect_list("x").alias("xs"))
+    group_schema, group_arrow = arrow_schema("g long, k long, f long, c int, rid long, p int, n int, hs array<long>")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, CHUNK):
             for rid, text, xs in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                data = text.encode()
-                p, n, g, c = (np.array([x[k] for x in xs], dtype=np.int64) for k in ("p", "n", "g", "c"))
+                data = np.frombuffer(text.encode(), dtype=np.uint8)
+                p, n, o, g, c = (np.array([x[k] for x in xs], dtype=np.int64) for k in ("p", "n", "o", "g", "c"))
                 for base in range(0, len(data), CHUNK):
                     here = (p >= base) & (p < base + CHUNK)
-                    if not here.any():
-                        continue
-                    rolling = Rolling(np.frombuffer(data[base : base + 2 * CHUNK + length], dtype=np.uint8))
-                    size = n[here]
-                    at = np.repeat(p[here], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    h = rolling.of(at - base, at - base + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(g[here], size)), pa.array(h.view(np.int64)), pa.array(np.repeat(np.minimum(c[here], 2), size).astype(np.int32)), pa.array(np.full(len(at), rid)), pa.array(at.astype(np.int32))], schema=suffix_arrow)
-
-    suffixes = scratch.keep(source.select("rid", "text").join(wanted, "rid").select("rid", "text", "xs").mapInArrow(expand, suffix_schema), "suffixes")
-    ranks = scratch.keep(suffixes.groupBy("g", "h").agg(F.sum("c").alias("total")).where("total > 1").select("g", "h"), "ranks")
-    equal = suffixes.where("c = 1").join(ranks, ["g", "h"]).select("rid", "p", F.lit(1).alias("n"))
-    runs = scratch.keep(settled.unionByName(equal).groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("runs")), "runs")
-    scratch.drop("repeated", "entries", "suffixes", "ranks")
+                    if here.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) if not isinstance(x, pa.Array) else x for x, t in zip(_groups(data, base, length, p[here], n[here], o[here], g[here], c[here], rid), group_arrow)], schema=group_arrow)
+
+    groups = scratch.keep(source.select("rid", "text").join(wanted, "rid").select("rid", "text", "xs").mapInArrow(expand, group_schema), "groups")
+    scratch.drop("entries")
+    ranks = scratch.keep(groups.groupBy("g", "k").agg(F.sum("c").alias("t"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("t > 1").select("g", "k", (F.col("f0") != F.col("f1")).alias("open")), "ranks")
+    ranked = groups.join(ranks, ["g", "k"]).where("c = 1 or open")
+    ranked = scratch.keep(ranked.select("g", "c", "rid", "p", "n", "open", F.when(F.col("open"), F.col("hs")).alias("hs")), "ranked")
+    scratch.drop("groups", "ranks")
+    suffixes = scratch.keep(ranked.where("open").select("g", "c", "rid", "p", F.posexplode("hs").alias("i", "h")).select("g", "h", "c", "rid", (F.col("p") + F.col("i")).alias("p")), "suffixes")
+    alike = scratch.keep(suffixes.groupBy("g", "h").agg(F.sum("c").alias("t")).where("t > 1").select("g", "h"), "alike")
+    equal = suffixes.where("c = 1").join(alike, ["g", "h"]).select("rid", "p", F.lit(1).alias("n"))
+    found = settled.unionByName(ranked.where("c = 1 and not open").select("rid", "p", "n")).unionByName(equal)
+    runs = scratch.keep(found.groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("runs")), "runs")
+    scratch.drop("settled", "ranked", "suffixes", "alike")
     return source.join(runs, "rid", "left").select("doc_id", "text", "runs")
 
 
+def _groups(data: np.ndarray, base: int, length: int, p: np.ndarray, n: np.ndarray, o: np.ndarray, g: np.ndarray, c: np.ndarray, rid: int) -> tuple:
+    """Columns g, k, f, c, rid, p, n, hs of the groups of suffixes of the entries at ``p``.
+
+    A group holds the suffixes whose distance to the trigger is STEP * s .. STEP * s + STEP - 1.  ``k`` is the rank of
+    the bytes that all of these share, wherever the entry ends; ``f`` that of all bytes of those that it has; ``hs``
+    are the ranks of its suffixes.
+    """
+    rolling = Rolling(data[base : base + 2 * CHUNK + length])
+    entry = np.repeat(np.arange(len(p)), n)
+    at = p[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) - base
+    trigger = (p + o)[entry] - base
+    step = (trigger - at) // STEP
+    first = np.flatnonzero((np.diff(entry, prepend=-1) != 0) | (np.diff(step, prepend=-1) != 0))
+    size = np.diff(np.append(first, len(entry)))
+    h = rolling.of(at, at + length)
+    lead, q, s = at[first], trigger[first], step[first]
+    shared = rolling.of(q - STEP * s, q - STEP * s - STEP + 1 + length)
+    k = _mix(shared ^ (s.astype(np.uint64) << np.uint64(40)))
+    f = _mix(rolling.of(lead, lead + size - 1 + length) ^ ((q - lead).astype(np.uint64) << np.uint64(32)) ^ size.astype(np.uint64))
+    hs = pa.ListArray.from_arrays(pa.array(np.append(first, len(entry)).astype(np.int32)), pa.array(h.view(np.int64)))
+    e = entry[first]
+    return g[e], k.view(np.int64), f.view(np.int64), c[e], np.full(len(e), rid), lead + base, size, hs
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _spans(documents(spark, sf_dir), LENGTH, "doc_id", "text")
     schema, arrow = arrow_schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
