@@ -85,7 +85,8 @@ def scan_secrets(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text
         to = F.floor((F.col("x.e") - 1) / scope).cast("int")
         return df.select("rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.k").alias("k"), F.explode(F.sequence(at - spread, to + spread)).alias("cell"))
 
-    both = found.where((F.size("weak") > 0) & F.exists("base", lambda x: x["k"] < 2))
+    may_link = (F.size("weak") > 0) & F.exists("base", lambda x: x["k"] < 2)
+    both = found.where(may_link)
     strong = both.select("rid", F.explode(F.filter("base", lambda x: x["k"] < 2)).alias("x"))
     weak = both.select("rid", F.explode("weak").alias("x"))
 
@@ -99,7 +100,9 @@ def scan_secrets(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text
     secrets = near(weak.where("x.k = 3"), strong.where("x.k = 1"))
     endpoints = near(weak.where("x.k = 4"), strong.unionByName(secrets))
     linked = secrets.unionByName(endpoints).groupBy("rid").agg(F.sort_array(F.collect_list("x")).alias("linked"))
-    return found.join(linked, "rid", "left").select("doc_id", "base", F.coalesce("linked", F.array().cast(_SPAN)).alias("linked"), *(["row"] if carry_text else []))
+    # Only rows whose parts may link are shuffled; the others, with their texts, stay where they are.
+    columns = ["doc_id", "base", F.coalesce("linked", F.array().cast(_SPAN)).alias("linked"), *(["row"] if carry_text else [])]
+    return both.join(linked, "rid", "left").select(*columns).unionByName(found.where(~may_link).withColumn("linked", F.array().cast(_SPAN)).select(*columns))
 
 
 def mask_secrets(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
