@@ -75,7 +75,7 @@ def features(text: str, tokens: dict) -> list[int]:
 
 
 def _tokens() -> BoundedCache:
-    return per_process("quality-tokens", lambda: BoundedCache(_token, 500_000))
+    return per_process("quality-tokens", lambda: BoundedCache(_token, 250_000))
 
 
 @dataclass
