@@ -240,7 +240,8 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 3, id_c
     found = scratch.keep(found.select(F.col("doc_id").alias("_id"), "component_id"), "found")
     repeated = not found.groupBy("_id").count().where("count > 1").isEmpty()
     drop = found.where("_id != component_id").select("_id").distinct()
-    kept = docs.join(drop, docs[id_col].cast("long") == F.col("_id"), "left_anti")
+    # The ids that go grow with the corpus: they are never broadcast, so the plan is the same at every size.
+    kept = docs.join(drop.hint("merge"), docs[id_col].cast("long") == F.col("_id"), "left_anti")
     if repeated:
         kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
     return kept
