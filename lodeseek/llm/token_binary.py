@@ -150,8 +150,9 @@ class Codec:
 class LibraryEncoder:
     """Ids of the tokenizers library.  A stretch between single spaces is encoded once and kept, and so are its words.
 
-    In byte-level BPE a space belongs to the word behind it, so texts with single spaces fall apart before each
-    space; runs of spaces and special strings, where this does not hold, go to the library as they are.  So do
+    In byte-level BPE a space between two words belongs to the word behind it, so texts fall apart before each such
+    space; texts where a space stands beside other white space, which may be one token with it, and texts with
+    special strings go to the library as they are.  So do
     stretches beyond the Latin blocks, where Unicode versions may split differently; of the others, each new word
     goes to the library's model.
     """
@@ -173,6 +174,7 @@ class LibraryEncoder:
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.model = self.tokenizer.model
         self.plain = re.compile("[\t\n\r -~\xa0-\u024f]*").fullmatch
+        self.run = re.compile(r" \s|\s ").search
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.symbols = {b: s for b, s in byte_symbols().items() if chr(b) != s}
         self.words = BoundedCache(self._word, 250_000)
@@ -193,7 +195,7 @@ class LibraryEncoder:
         """Packed ids (``dtype``) of each text, without the end id."""
         out, known, special = [], self.chunks.__getitem__, self.special
         for text in texts:
-            if "  " in text or any(s in text for s in special):
+            if self.run(text) or any(s in text for s in special):
                 out.append(self._library(text))
             else:
                 first, *rest = text.split(" ")

@@ -132,6 +132,13 @@ def test_library_encoder_is_the_library():
         assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_spaces_beside_other_white_space():
+    library, encoder = Tokenizer.from_file(BYTES), B.LibraryEncoder(BYTES)
+    for gap in (" \xa0 \xa0 ", " \xa0" * 8 + " ", "\xa0 \xa0 ", " \n \n ", " \t ", "\u3000 \x85 "):
+        for text in (f"foo{gap}bar", f"{gap}bar baz", f"foo bar{gap}"):
+            assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_files_round_trip(spark, sf):
     library = Tokenizer.from_file(BYTES)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
