@@ -54,3 +54,13 @@ def test_near_copies_are_those_of_a_jaccard_join(spark):
     want = brute_kept(data)
     assert 25 <= len(want) < 60
     assert kept(spark, data) == want
+
+
+def test_texts_that_share_a_fingerprint_stay(spark):
+    """One shingle that makes up most of a text sets its fingerprint, not its likeness."""
+    from lodeseek.llm.simhash import fingerprint
+
+    rng = random.Random(6)
+    data = [(k, " ".join([f"w{rng.getrandbits(30)}" for _ in range(100)] + ["-"] * 150)) for k in range(2)]
+    assert fingerprint(data[0][1]) == fingerprint(data[1][1])
+    assert kept(spark, data) == [0, 1]
