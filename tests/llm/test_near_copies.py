@@ -64,3 +64,9 @@ def test_texts_that_share_a_fingerprint_stay(spark):
     data = [(k, " ".join([f"w{rng.getrandbits(30)}" for _ in range(100)] + ["-"] * 150)) for k in range(2)]
     assert fingerprint(data[0][1]) == fingerprint(data[1][1])
     assert kept(spark, data) == [0, 1]
+
+
+def test_rows_that_share_or_lack_an_id(spark):
+    """Each row is judged by its own text."""
+    data = [(3, "one two three four five six"), (7, "one two three four five six"), (7, "quite other words stand in this row"), (7, "and a third text under this id"), (None, "rows without any id hold this"), (None, "rows without any id hold this"), (None, "One two three four five six"), (9, None), (8, "")]
+    assert kept(spark, data) == brute_kept(data) == [0, 2, 3, 4, 8]
