@@ -183,14 +183,43 @@ def test_recall_with_unequal_lengths_and_copies():
     vectors = rng.normal(size=(4000, 24)) * rng.gamma(2, 1, (4000, 1))
     vectors[1000:2500] = vectors[7]
     ids = rng.permutation(4000).astype(np.int64)
-    block = ann.Block(ids, vectors, 20)
-    hits = 0
-    for q in range(0, 4000, 100):
-        got = block.search(int(ids[q]), vectors[q])[0].tolist()
-        hits += len({*got} & {i for i, _ in exact(ids, vectors, q, 20)})
+    asked = np.arange(0, 4000, 100)
+    found = ann.Nearest(ids[asked], vectors[asked], 20)
+    found.add(ann.Block(ids, vectors, 20))
+    row, got, _ = found.best
+    hits = sum(len({*got[row == k].tolist()} & {i for i, _ in exact(ids, vectors, q, 20)}) for k, q in enumerate(asked))
     assert hits >= 0.9 * 40 * 20
 
 
+def test_recall_and_share_verified_over_many_blocks(monkeypatch):
+    """50,000 vectors in seven blocks: few are verified, and nearly all of the nearest are found."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(50_000, 64)) + 0.3 * rng.normal(size=(10, 64))[rng.integers(0, 10, 50_000)]
+    vectors = (vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.float32)
+    ids, asked, seen = np.arange(50_000), np.arange(0, 50_000, 500), []
+    candidates = ann.Block.candidates
+    monkeypatch.setattr(ann.Block, "candidates", lambda block, queries: seen.append(candidates(block, queries)) or seen[-1])
+    found = ann.Nearest(ids[asked], vectors[asked], 20)
+    for some in np.array_split(ids, 7):
+        found.add(ann.Block(some, vectors[some], 20))
+    row, got, _ = found.best
+    scores = vectors[asked].astype(np.float64) @ vectors.T.astype(np.float64)
+    scores[np.arange(len(asked)), asked] = -2
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert sum(len({*got[row == k].tolist()} & {*want[k].tolist()}) for k in range(len(asked))) >= 0.9 * 20 * len(asked)
+    assert sum(x.sum() for x in seen) <= 0.1 * sum(x.size for x in seen)
+
+
+def test_collision_counts_are_those_of_a_sum():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 5, 64, 128):
+        flags = rng.random((n, 3, 128)) < rng.random()
+        windows = [np.packbits(x, axis=1, bitorder="little").view(np.uint64) for x in flags]
+        for need in (0, 1, n // 2, n, n + 1):
+            got = np.unpackbits(ann.at_least(ann.collisions(iter(windows)), need).view(np.uint8), axis=1, bitorder="little")
+            assert (got == (flags.sum(axis=0) >= need)).all()
+
+
 def test_nearest_of_odd_rows(spark):
     nan = float("nan")
     data = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [0.5, 0.5]), (8, [1.0, 0.0, 0.0]), (9, []), (20, [1.0, 0.0])]
