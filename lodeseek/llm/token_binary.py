@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,6 +147,10 @@ class Codec:
 # ---------------------------------------------------------------- tokens
 
 
+#: The splitter's pattern where white space stands alone.
+_SINGLE = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+
+
 class LibraryEncoder:
     """Ids of the tokenizers library.
 
@@ -171,11 +176,14 @@ class LibraryEncoder:
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.plain = re.compile("[\t\n\r -~\xa0-\u024f]*").fullmatch
         self.run = re.compile(r" \s|\s ").search
+        self.double = re.compile(r"\s\s").search
         self.stretches = BoundedCache(self._stretch, most)
-        self.engine = self._engine(tokenizer_file)
+        self.engine, self.single = self._engine(tokenizer_file) or (None, None)
+        self.code = "I" if self.wide else "H"
 
     def _engine(self, tokenizer_file: str):
-        """The second engine, if the file is plain byte-level BPE whose ids follow its merges."""
+        """The second engine, if the file is plain byte-level BPE whose ids follow its merges: for any text, and for
+        texts without white space side by side, where a splitter that need not look ahead finds the same words."""
         import json
 
         import public_tokenizers
@@ -194,14 +202,16 @@ class LibraryEncoder:
         ranks = {bytes(map(back.__getitem__, s)): i for s, i in vocab.items() if s not in self.special}
         if made != sorted(made) or len(ranks) != len(made) + 256:
             return None
-        return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return [tiktoken.Encoding("bytes", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (public_tokenizers.PATTERN, _SINGLE)]
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
 
     def _plain(self, text: str) -> bytes:
+        if not self.double(text):
+            return array(self.code, self.single(text)).tobytes()
         try:
-            return self.engine.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
+            return array(self.code, self.engine(text)).tobytes()
         except ValueError:  # a run of white space too long for that engine's splitter
             return self._library(text)
 
