@@ -176,7 +176,7 @@ class LibraryEncoder:
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.plain = re.compile("[\t\n\r -~\xa0-\u024f]*").fullmatch
         self.run = re.compile(r" \s|\s ").search
-        self.double = re.compile(r"\s\s").search
+        self.double, self.blank = re.compile(r"\s\s").search, re.compile(r"\s{4096}").search
         self.stretches = BoundedCache(self._stretch, most)
         self.engine, self.single = self._engine(tokenizer_file) or (None, None)
         self.code = "I" if self.wide else "H"
@@ -210,10 +210,9 @@ class LibraryEncoder:
     def _plain(self, text: str) -> bytes:
         if not self.double(text):
             return array(self.code, self.single(text)).tobytes()
-        try:
-            return array(self.code, self.engine(text)).tobytes()
-        except ValueError:  # a run of white space too long for that engine's splitter
+        if self.blank(text):  # a run of white space that may be too long for that engine's splitter
             return self._library(text)
+        return array(self.code, self.engine(text)).tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
         """Ids of a stretch that follows a space."""

@@ -139,6 +139,19 @@ def test_spaces_beside_other_white_space():
             assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_second_engine_is_the_library():
+    """Texts of the Latin blocks, long runs of one kind, and texts that mix in other scripts."""
+    library, encoder = Tokenizer.from_file(BYTES), B.LibraryEncoder(BYTES)
+    assert encoder.engine
+    assert B.LibraryEncoder(WORDS).engine is None
+    rng = random.Random(12)
+    latin = [*map(chr, (9, 10, 13, *range(32, 127), *range(0xA0, 0x250))), "the", " of", "ing", "'ll", " 12", "$%"]
+    said = ["".join(rng.choice(latin) for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    said += [" ".join(rng.choice(["the", "漢字", "a's", "€5", "naïve", "x\ny", "“so”"]) for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    for text in [*said, " " * 1_000_000, "\n" * 300_000 + "a", "x" * 300_000, "a" + " " * 4000 + "b"]:
+        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_files_round_trip(spark, sf):
     library = Tokenizer.from_file(BYTES)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
