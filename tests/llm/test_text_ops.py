@@ -88,18 +88,25 @@ def test_search_is_exhaustive(spark, sf):
             for i, x in zip(*index.postings[t][:2]):
                 scores[i] += x
         assert {i for i, s in scores.items() if s >= least} == {i for i, _ in index.search(terms, least)}
+        reached = {i for i, s in scores.items() if s >= 1}
+        assert reached <= set(index.likely(terms).tolist())
 
 
 def brute_leaks(docs, items, overlap=0.8):
+    """Documents with enough of an item's shingles, or of those of its question, counted over the whole text."""
+
+    def grams(words, n=5):
+        return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+    words_of = lambda text: decontaminate.WORDS.findall((text or "").lower())
     out = set()
     for d, text in docs:
-        words = decontaminate.WORDS.findall((text or "").lower())
-        have = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        have = grams(words_of(text))
         for i, item in items:
-            w = decontaminate.WORDS.findall(item.lower())
-            want = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-            if len(want & have) >= overlap * len(want):
-                out.add((d, i))
+            question = words_of(decontaminate.split_answer(item)[0])
+            for want in (grams(words_of(item)), grams(question) if len(question) >= 8 else None):
+                if want and len(want & have) >= overlap * len(want) - 1e-9:
+                    out.add((d, i))
     return out
 
 
@@ -116,6 +123,30 @@ def test_leaks_are_those_of_brute_force(spark, sf):
     assert kept.columns == docs.columns
 
 
+def test_split_items_and_lone_questions(spark, sf):
+    """Items in two to four parts far apart, items with changed words, and questions without their answers."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rng = random.Random(3)
+    filler = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(50).collect()]
+    between = lambda: " ".join(" ".join(rng.choice(filler).split()[:150]) for _ in range(2))
+    data = []
+    for _, text in items:
+        words = text.split()
+        for parts in (2, 3, 4):
+            cut = sorted(rng.sample(range(1, len(words)), parts - 1))
+            data.append(f" {between()} ".join(" ".join(words[a:b]) for a, b in zip([0, *cut], [*cut, len(words)])))
+        for share in (0.02, 0.04):
+            data.append(" ".join(w if rng.random() > share else "changed" for w in words))
+        data.append(f"{between()} {decontaminate.split_answer(text)[0]} {between()}")
+        rare = sorted(words, key=len)[-max(1, len(words) // 25) :]
+        data.append(" ".join("x" if w in rare else w for w in words))  # without its rarest words
+    docs = [*enumerate(data)]
+    want = brute_leaks(docs, items)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+    assert len(want) >= 3 * len(items)
+
+
 def test_decontamination_of_odd_rows(spark):
     items = spark.createDataFrame([(1, "one two three four five six. seven eight nine"), (1, "one two three four five six. seven eight nine"), (2, None), (3, ""), (None, "red blue green black white grey pink")], "item_id long, text string")
     docs = rows(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(7, "x one two three four five six. seven eight nine y"), (8, "red blue green black white grey pink")], "doc_id long, text string"))
@@ -124,6 +155,8 @@ def test_decontamination_of_odd_rows(spark):
     assert decontaminate.leaks(docs, items).count() == 2
     assert decontaminate.leaks(docs, items.limit(0)).collect() == decontaminate.leaks(docs.limit(0), items).collect() == []
     assert decontaminate.drop_leaks(docs, items.limit(0)).count() == 8
+    assert sorted(r.doc_id or 0 for r in decontaminate.drop_leaks(docs.unionByName(docs.where("doc_id = 7")), items).collect()) == [0, 1, 1, 2, 3, 4]
+    assert decontaminate.drop_leaks(docs.limit(0), items).collect() == []
 
 
 # ---------------------------------------------------------------- quality
