@@ -42,6 +42,22 @@ def prefixed_list(token: str, values: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: prefixed(token, v)))
 
 
+def strip(text: Column) -> Column:
+    """What stands behind leading blanks, tabs and line ends, up to the next of these."""
+    return F.regexp_extract(text, r"^[ \t\n]*([^ \t\n]*)", 1)
+
+
+def is_comment(line: Column) -> Column:
+    """Whether a configuration line, after blanks and tabs, starts with #."""
+    return F.coalesce(line.rlike(r"^[ \t]*#"), F.lit(False))
+
+
+def is_valid_ip(address: Column) -> Column:
+    """Whether an address is four numbers of 0 to 255, dotted (255.255.255.255 stands for none)."""
+    part = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    return F.coalesce(address.rlike(rf"^{part}(\.{part}){{3}}$") & (address != "255.255.255.255"), F.lit(False))
+
+
 def saturate(value: Column, bits: int) -> Column:
     """Clamp to what a field of so many bits holds; negative values to 0."""
     return F.least(F.greatest(value.cast("long"), F.lit(0).cast("long")), F.lit((1 << bits) - 1).cast("long"))

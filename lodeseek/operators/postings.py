@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.scalars import distinct_tokens, prefixed, prefixed_list, saturate, title, token_positions
 from lodeseek.plans.spec import FieldRule, IndexSpec
 
+#: A term keeps at most so many postings.
+MOST_POSTINGS = 1_000_000
+SUBS = "array<struct<pos:int,term:string>>"
+
 
 def simple_postings(docs: DataFrame, terms: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term) for each distinct token.  With ``terms``, only those leave the scan: tokens are cut down to
@@ -30,51 +34,105 @@ def term_dictionary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df")).orderBy("term")
 
 
-def posting_cap(postings: DataFrame, most: int, least_df: int = 0) -> DataFrame:
-    """The ``most`` newest postings of each term that has more than ``least_df``: (term, doc_id)."""
+def cap_postings(postings: DataFrame, most: int = MOST_POSTINGS) -> DataFrame:
+    """The ``most`` newest postings of each term.  Each task cuts its own part of a term's list before the shuffle, so
+    what meets is ``most`` rows a term and task, however frequent the term."""
     newest = Window.partitionBy("term").orderBy(F.desc("doc_id"))
-    capped = postings.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= most).drop("_rn")
+    return postings.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= most).drop("_rn")
+
+
+def posting_cap(postings: DataFrame, most: int, least_df: int = 0) -> DataFrame:
+    """The ``most`` newest postings of each term that has more than ``least_df``: (term, doc_id).
+
+    Counts are combined before their shuffle; the frequent terms alone are ranked."""
     if least_df:
         frequent = postings.groupBy("term").count().where(F.col("count") > least_df).select("term")
-        capped = capped.join(frequent, "term", "left_semi")
-    return capped.select("term", "doc_id")
+        postings = postings.join(frequent, "term", "left_semi")
+    return cap_postings(postings.select("term", "doc_id"), most)
+
+
+def _cells(rows: DataFrame, cells: Column) -> DataFrame:
+    """(doc_id, and the fields of ``cells``, an array of structs), one row per cell, dealt by document.
+
+    Texts are dealt once, before they are cut into tokens; whatever is then aggregated by document and term stays in
+    its task.  (Cells shuffled after a partial aggregation are four times the text; an array folded in place needs no
+    shuffle, but its interpreted steps take five times the CPU seconds of the hash aggregate.)  Rows that are dealt by
+    document already are not dealt again."""
+    return rows.repartition("doc_id").select("doc_id", F.explode(cells).alias("_c")).select("doc_id", "_c.*")
 
 
 def index_nlp(docs: DataFrame, count_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, hit_count, offset1, offset2): occurrences (saturating), the first token position, and the
-    distance from the first to the last.  A document's tokens are aggregated where they are: the first level of
-    aggregation holds one document's terms at a time."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(token_positions(F.col(text_col))).alias("t")).select("doc_id", "t.term", "t.pos")
+    distance from the first to the last."""
+    rows = _cells(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), token_positions(F.col("_text")))
     found = rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     return found.select("doc_id", "term", saturate(F.col("n"), count_bits).alias("hit_count"), F.col("first").cast("long").alias("offset1"), (F.col("last") - F.col("first")).cast("long").alias("offset2"))
 
 
-def field_postings(docs: DataFrame, rule: FieldRule, tokenizer=None) -> DataFrame:
-    """(doc_id, term, hit_count, weight, hit, positions) of one configured field; docs has doc_id and the field.
+def term_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, term, positions): where each term of a text stands."""
+    rows = _cells(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")), token_positions(F.col("_text")))
+    return rows.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
-    ``tokenizer`` maps a text column to an array of (pos, term); by default tokens are split at spaces."""
-    column = F.col(rule.column)
+
+def field_cells(rule: FieldRule, number: int, tokenizer=None, column: Column | None = None) -> Column:
+    """Array of (term, field, pos) of one configured field.
+
+    ``tokenizer`` maps a text column to an array of (pos, term), or of (pos, term, subs: array of (pos, term)) from a
+    segmenter that cuts tokens into sub-tokens; positions are whatever the tokenizer counts in, tokens or characters.
+    By default tokens are split at spaces.  Sub-tokens count where their parent first occurs only."""
+    column = F.col(rule.column) if column is None else column
     if rule.op == "NLP":
-        cells = (tokenizer or token_positions)(column)
+        if tokenizer is None:
+            cells = F.transform(token_positions(column), lambda t: F.struct(t["term"].alias("term"), F.lit(number).alias("field"), t["pos"].cast("int").alias("pos")))
+        else:
+            cells = _with_subs(tokenizer(column), number)
     else:
         terms = prefixed_list(rule.token, column) if rule.type.startswith("LIST") else F.array(prefixed(rule.token, column))
-        cells = F.transform(F.filter(terms, lambda x: x.isNotNull()), lambda x: F.struct(F.lit(0).alias("pos"), x.alias("term")))
-    rows = docs.select("doc_id", F.explode(cells).alias("t")).select("doc_id", "t.term", "t.pos")
-    one = rows.groupBy("doc_id", "term").agg(F.count("*").alias("hit_count"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    nlp = rule.op == "NLP"
-    return one.select("doc_id", "term", (F.col("hit_count") if nlp else F.lit(0)).cast("long").alias("hit_count"), F.lit(rule.hit_weight if nlp else 0).cast("long").alias("weight"), F.lit(rule.hit_field).alias("hit"), (F.col("positions") if rule.position else F.array().cast("array<int>")).alias("positions"))
+        cells = F.transform(F.filter(terms, lambda x: x.isNotNull()), lambda x: F.struct(x.alias("term"), F.lit(number).alias("field"), F.lit(0).alias("pos")))
+    return F.coalesce(cells, F.array().cast("array<struct<term:string,field:int,pos:int>>"))
+
+
+def _with_subs(tokens: Column, number: int) -> Column:
+    """Cells of a tokenizer's tokens and, at each token's first occurrence, of its sub-tokens; empty ones are left out."""
+
+    def cell(t: Column) -> Column:
+        return F.struct(t["term"].cast("string").alias("term"), F.lit(number).alias("field"), t["pos"].cast("int").alias("pos"))
 
+    said = F.filter(tokens, lambda t: t["term"] != "")
+    whole = F.transform(said, cell)
+    names = F.transform(said, lambda t: t["term"])
+    first = F.filter(said, lambda t, i: F.array_position(names, t["term"]) == i + 1)
+    subs = F.flatten(F.transform(first, lambda t: F.transform(F.filter(F.coalesce(t["subs"], F.array().cast(SUBS)), lambda x: x["term"] != ""), cell)))
+    return F.concat(whole, subs)
 
-def build_postings(docs: DataFrame, spec: IndexSpec, tokenizer=None) -> DataFrame:
+
+def build_postings(docs: DataFrame, spec: IndexSpec, tokenizer=None, subs: bool = False) -> DataFrame:
     """Postings of all configured fields: one row per (doc_id, term) with the cell's fields, each a saturating sum
-    over the fields that hold the term; offset1 and offset2 come from the field that keeps positions."""
-    docs = docs.withColumn("doc_id", F.col(spec.doc_id.column).cast("long"))
-    parts = [field_postings(docs, r, tokenizer) for r in spec.rules if r.op != "DOC_ID"]
-    both = reduce(DataFrame.unionByName, parts)
-    hits = sorted({r.hit_field for r in spec.rules if r.hit_field})
-    aggs = [F.sum("weight").alias("weight"), F.sum("hit_count").alias("hit_count"), *(F.sum((F.col("hit") == h).cast("long")).alias(h) for h in hits), F.flatten(F.collect_list("positions")).alias("positions")]
-    found = both.groupBy("doc_id", "term").agg(*aggs)
-    out = [saturate(F.coalesce(F.col(n), F.lit(0)), spec.cell.get(c, 32)).alias(n) for n, c in (("weight", "weight"), ("hit_count", "hit_count" if "hit_count" in spec.cell else "count"), *((h, h) for h in hits))]
+    over the fields that hold the term; offset1 and offset2 come from the field that keeps positions.
+
+    The cells of all fields of a document are made in one pass over its row and aggregated in one step.
+    ``tokenizer`` as in ``field_cells``; ``subs`` says that its tokens have sub-tokens."""
+    if tokenizer is not None and not subs:
+        plain = tokenizer
+        tokenizer = lambda c: F.transform(plain(c), lambda t: F.struct(t["pos"].alias("pos"), t["term"].alias("term"), F.array().cast(SUBS).alias("subs")))
+    rules = [r for r in spec.rules if r.op != "DOC_ID"]
+    fields = docs.select(F.col(spec.doc_id.column).cast("long").alias("doc_id"), *(F.col(r.column).alias(f"_f{k}") for k, r in enumerate(rules)))
+    rows = _cells(fields, F.concat(*(field_cells(r, k, tokenizer, F.col(f"_f{k}")) for k, r in enumerate(rules))))
+    holds = [F.max((F.col("field") == k).cast("long")) for k in range(len(rules))]
+    texts = [k for k, r in enumerate(rules) if r.op == "NLP"]
+    zero = F.lit(0).cast("long")
+    weight = reduce(lambda a, b: a + b, [holds[k] * rules[k].hit_weight for k in texts if rules[k].hit_weight], zero)
+    count = F.sum(F.col("field").isin(texts).cast("long")) if texts else F.max(zero)
+    hits = {h: reduce(lambda a, b: a + b, [holds[k] for k in texts if rules[k].hit_field == h], zero) for h in sorted({r.hit_field for r in rules if r.hit_field})}
+    placed = next((k for k, r in enumerate(rules) if r.position), None)
+    none = F.array().cast("array<int>")
+    positions = none if placed is None else F.sort_array(F.collect_list(F.when(F.col("field") == placed, F.col("pos"))))
+    aggregates = [count.alias("hit_count"), weight.alias("weight"), *(x.alias(h) for h, x in hits.items()), *([] if placed is None else [positions.alias("positions")])]
+    found = rows.groupBy("doc_id", "term").agg(*aggregates)
+    if placed is None:
+        found = found.withColumn("positions", none)
+    out = [saturate(F.col(n), spec.cell.get(c, 32)).alias(n) for n, c in (("weight", "weight"), ("hit_count", "hit_count" if "hit_count" in spec.cell else "count"), *((h, h) for h in hits))]
     first, last = F.coalesce(F.array_min("positions"), F.lit(0)), F.coalesce(F.array_max("positions"), F.lit(0))
     offsets = [saturate(first, spec.cell["offset1"]).alias("offset1"), saturate(last - first, spec.cell["offset2"]).alias("offset2")] if "offset1" in spec.cell else []
     return found.select("doc_id", "term", *out, *offsets, "positions")
@@ -92,16 +150,10 @@ def index_multifield(docs: DataFrame, title_weight: int = 5, content_weight: int
     return build_postings(fields, spec).select("doc_id", "term", "weight", "title_hit", "hit_count")
 
 
-def index_compact(older: DataFrame, newer: DataFrame) -> DataFrame:
-    """Two index segments merged: (term, total, newest, oldest) over the postings of both."""
-    return older.unionByName(newer).groupBy("term").agg(F.count("*").alias("total"), F.max("doc_id").alias("newest"), F.min("doc_id").alias("oldest"))
-
-
-def merge_segments(older: DataFrame, newer: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Compaction: the postings of both segments, a document's newer cell first, at most ``most`` newest per term."""
+def merge_segments(older: DataFrame, newer: DataFrame, most: int = MOST_POSTINGS) -> DataFrame:
+    """Two index segments as one: the postings of both, a document's newer cell first, at most ``most`` newest per term."""
     both = older.withColumn("_age", F.lit(1)).unionByName(newer.withColumn("_age", F.lit(0)))
     cell = F.struct("_age", *[c for c in older.columns if c not in ("term", "doc_id")])
     one = both.groupBy("term", "doc_id").agg(F.min_by(cell, "_age").alias("_cell"))
     rest = one.select("term", "doc_id", *(F.col(f"_cell.{c}").alias(c) for c in older.columns if c not in ("term", "doc_id")))
-    newest = Window.partitionBy("term").orderBy(F.desc("doc_id"))
-    return rest.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= most).drop("_rn")
+    return cap_postings(rest, most)

@@ -25,9 +25,13 @@ def delete_restore_state(messages: DataFrame, key: str, position: str, operation
     return found.withColumn("visible", F.col("has_insert") & (F.col("last_operation") != "DELETE"))
 
 
-def filter_live(rows: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is visible."""
-    return rows.join(state.where("visible").select(key), key, "left_semi")
+def filter_live(rows: DataFrame, state: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """Rows whose key is visible; with ``version``, a column of both, only those that the state's version has not
+    superseded."""
+    live = state.where("visible")
+    if version is None:
+        return rows.join(live.select(key), key, "left_semi")
+    return rows.join(live.select(key, version), [key, version], "left_semi")
 
 
 def drop_superseded(versions: DataFrame, newest: DataFrame, key: str, position: str) -> DataFrame:

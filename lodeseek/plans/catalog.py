@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +16,15 @@ from lodeseek.operators import postings as P
 from lodeseek.operators import state as D
 from lodeseek.operators import topk as K
 from lodeseek.operators.predicates import apply_filters
-from lodeseek.operators.rank import proximity, ranking
+from lodeseek.engine import SearchEngine
+from lodeseek.operators.rank import proximity_scores, ranking
 from lodeseek.plans.query import SearchQuery
+from lodeseek.plans.spec import FieldRule, IndexSpec
+from lodeseek.session import shared_folder
 from lodeseek.sources import queue as Q
 from lodeseek.sources import tables as A
+from lodeseek.sources.segments import SegmentedIndex
+from lodeseek.streaming.apply import MESSAGE
 
 Query = Callable[[SparkSession, str], DataFrame]
 TERMS = [{"term": "from", "weight": 50}, {"term": "this", "weight": 30}, {"term": "than", "weight": 20}]
@@ -47,8 +54,22 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.attribute_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def build_index(spark: SparkSession, sf_dir: str, path: str) -> SegmentedIndex:
+    """The documents' postings (doc_id, term, positions), stored."""
+    index, docs = SegmentedIndex(spark, path), table(spark, sf_dir, "documents")
+    index.add(P.term_positions(docs), docs.select("doc_id"))
+    return index
+
+
+def stored(spark: SparkSession, sf_dir: str) -> SegmentedIndex:
+    """The stored index of these tables: built by the application's first query, read by all others."""
+    path = f"{shared_folder(spark)}/index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    index = SegmentedIndex(spark, path)
+    return index if index.exists() else build_index(spark, sf_dir, path)
+
+
 def postings(spark: SparkSession, sf_dir: str, terms: list[str] | None = None) -> DataFrame:
-    return P.simple_postings(table(spark, sf_dir, "documents"), terms)
+    return stored(spark, sf_dir).read(terms).select("doc_id", "term")
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +136,51 @@ def filter_live(spark, sf_dir):
     return D.filter_live(messages.where("event_type = 'view'").select("event_id", "user_id"), state, "user_id")
 
 
+@query(f"""WITH {_STATE_SQL}, v AS (SELECT event_id, user_id FROM events WHERE event_type = 'signup')
+SELECT event_id, user_id FROM v WHERE event_id = (SELECT max(event_id) FROM v w WHERE w.user_id = v.user_id) AND user_id IN (SELECT doc_id FROM s WHERE has_insert AND last_operation <> 'DELETE')""")
+def filter_superseded(spark, sf_dir):
+    """Signups as versions of their user: the newest of each, where the user is visible."""
+    messages = log(spark, sf_dir)
+    versions = messages.where("event_type = 'signup'").select("event_id", "user_id")
+    state = D.delete_restore_state(messages, "user_id", "event_id").join(D.latest_version(versions, "user_id", "event_id", []), "user_id", "left")
+    return D.filter_live(versions, state, "user_id", "event_id")
+
+
+@query(f"""WITH {_P}, {_W}, e AS (SELECT * FROM events WHERE event_type <> 'click'),
+s AS (SELECT user_id AS doc_id, arg_max(event_type, event_id) FILTER (WHERE event_type <> 'view') AS act, arg_max(event_id % 1000, event_id) FILTER (WHERE event_type = 'view') AS plays FROM e GROUP BY user_id),
+{_TOP.format(2000)}
+SELECT c.doc_id, weight, d.n_chars, CAST(coalesce(s.plays, 0) AS BIGINT) AS plays FROM c JOIN documents d ON d.doc_id = c.doc_id LEFT JOIN s ON s.doc_id = c.doc_id
+WHERE coalesce(s.act, '') <> 'error' AND coalesce(s.plays, 0) BETWEEN 0 AND 900""")
+def engine_replay(spark, sf_dir):
+    """The engine over all documents after a log of inserts, attribute updates (views), deletions and restorals."""
+    docs = table(spark, sf_dir, "documents").withColumn("plays", F.lit(None).cast("long"))
+    spec = IndexSpec((FieldRule("doc_id", "DOC_ID"), FieldRule("text", "NLP")), {"weight": 8, "hit_count": 3}, {"n_chars": 32, "plays": 32})
+    acts = {"signup": "INSERT", "error": "DELETE", "purchase": "RESTORE", "view": "UPDATE"}
+    kind = F.create_map(*(F.lit(x) for kv in acts.items() for x in kv))[F.col("event_type")]
+    listed, view = F.col("event_type").isin("error", "purchase"), F.col("event_type") == "view"
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<long>"))
+    columns = [F.lit(0).cast("long"), F.col("event_id"), kind, F.when(~listed, F.col("user_id")), F.when(listed, F.array("user_id")), ~view, F.when(view, F.create_map(F.lit("plays"), F.col("event_id") % 1000)).otherwise(none)]
+    names = [c.split()[0] for c in MESSAGE.split(", ")]
+    messages = table(spark, sf_dir, "events").where("event_type <> 'click'").select(*(c.alias(n) for c, n in zip(columns, names)))
+    engine = SearchEngine(spec, docs, index=stored(spark, sf_dir)).apply(messages)
+    return engine.matches(SearchQuery(TERMS, [{"field": "plays", "method": "ZONE", "min": 0, "max": 900}]))
+
+
 @query(f"WITH {_P}, {_W}, {_TOP.format(2000)} SELECT doc_id, weight FROM c")
 def weight_merge(spark, sf_dir):
     return M.weight_merge(postings(spark, sf_dir, WORDS), TERMS)
 
 
+@query("""WITH x AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term, 1 AS w FROM documents UNION ALL SELECT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')), 5 FROM documents),
+p AS (SELECT doc_id, term, sum(w) AS w FROM (SELECT DISTINCT * FROM x) WHERE term IN ('from', 'this', 'than') GROUP BY doc_id, term),
+c AS (SELECT doc_id, CAST(sum(w * CASE term WHEN 'from' THEN 50 WHEN 'this' THEN 30 ELSE 1 END) AS BIGINT) AS weight FROM p GROUP BY doc_id)
+SELECT doc_id, weight FROM c ORDER BY weight DESC, doc_id DESC LIMIT 2000""")
+def weight_merge_fields(spark, sf_dir):
+    """Postings with weights of their own (title 5, text 1); a term weight of 0 acts as 1."""
+    terms = [*TERMS[:2], {"term": "than", "weight": 0}]
+    return M.weight_merge(P.index_multifield(table(spark, sf_dir, "documents")), terms)
+
+
 @query(f"WITH {_P} SELECT doc_id, CAST(min(CASE term WHEN 'from' THEN 0 ELSE 1 END) AS INTEGER) AS list_no FROM p WHERE term IN ('from', 'The') GROUP BY doc_id")
 def or_merge(spark, sf_dir):
     rows = postings(spark, sf_dir, ["from", "The"])
@@ -211,16 +272,7 @@ _POS = "SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') A
 SELECT a.doc_id, min(abs(a.pos - b.pos) + abs(b.pos - c.pos)) AS spread FROM x a JOIN x b ON a.doc_id = b.doc_id JOIN x c ON b.doc_id = c.doc_id
 WHERE a.term = 'from' AND b.term = 'this' AND c.term = 'than' GROUP BY a.doc_id""", "proximity")
 def proximity_query(spark, sf_dir):
-    cells = S.token_positions(F.col("text"))
-
-    def places(word: str):
-        return F.transform(F.filter(cells, lambda c: c["term"] == word), lambda c: c["pos"])
-
-    lists = F.array(*map(places, WORDS))
-    rows = table(spark, sf_dir, "documents")
-    for word in WORDS:
-        rows = rows.where(F.array_contains(F.split("text", " "), word))
-    return rows.select("doc_id", proximity(lists).alias("spread")).where("spread is not null")
+    return proximity_scores(stored(spark, sf_dir).read(WORDS), WORDS)
 
 
 @query(f"""WITH d AS ({_POS}), x AS (SELECT doc_id, t[i] AS term, i - 1 AS pos FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d))
@@ -329,10 +381,21 @@ def lag_monitor(spark, sf_dir):
     return Q.lag_monitor(polls, "channel", "day", "queue_at", "follower_at").select("channel", "day", "queue_at", "follower_at", "status")
 
 
-@query(f"WITH {_P} SELECT term, count(*) AS total, max(doc_id) AS newest, min(doc_id) AS oldest FROM p GROUP BY term")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN split_part(coalesce(text, ''), chr(10), 1) ELSE coalesce(text, '') END AS text FROM documents),
+x AS (SELECT doc_id, t[i] AS term, i - 1 AS pos FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS t FROM d))),
+p AS (SELECT term, doc_id, count(*) AS hits, min(pos) AS offset1 FROM x GROUP BY ALL)
+SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY term ORDER BY doc_id DESC) <= 50""")
 def index_compact(spark, sf_dir):
+    """Three segments, of which later ones hold some documents of the first anew (in English: their title only), as one."""
     docs = table(spark, sf_dir, "documents")
-    return P.index_compact(*(P.simple_postings(docs.where(w)) for w in ("doc_id < 500", "doc_id >= 500")))
+    index = SegmentedIndex(spark, f"{shared_folder(spark)}/compact-{uuid.uuid4().hex[:12]}")
+    titles = docs.where("lang = 'en'").withColumn("text", S.title(F.col("text")))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    for part in (docs, titles.where(half), titles.where(~half)):
+        index.add(P.term_positions(part), part.select("doc_id"))
+    index.compact(last=2)
+    index.compact(most=50)
+    return index.read().select("term", "doc_id", F.size("positions").cast("long").alias("hits"), F.array_min("positions").cast("long").alias("offset1"))
 
 
 @query("SELECT page_id, url, length(html) AS n FROM pages WHERE page_id IN (1, 7, 20, 33, 49)")
@@ -349,9 +412,14 @@ def sign_bkdr(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source", S.sign_bkdr(F.col("source")).alias("sign"))
 
 
-@query(f"SELECT doc_id, ({_SIGN}) % 4 AS shard FROM documents")
+_SIGN_AP = """list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(source, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda h, c, i: xor(h, CASE WHEN i % 2 = 0 THEN xor(xor(h << 7, c), h >> 3) ELSE ~xor(xor(h << 11, c), h >> 5) END) & 4294967295) & 2147483647"""
+
+
+@query(f"SELECT doc_id, sign, sign % 4 AS shard FROM (SELECT doc_id, ({_SIGN}) * 4294967296 + ({_SIGN_AP}) AS sign FROM documents)")
 def shard_assign(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.shard(S.sign_bkdr(F.col("source"))).alias("shard"))
+    sign = S.sign64(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", sign.alias("sign"), S.shard(sign).alias("shard"))
 
 
 @query(f"WITH {_A} SELECT doc_id, siteno + quality * 1048576 + toxic * 4194304 AS packed FROM a")
@@ -370,6 +438,14 @@ def result_json(spark, sf_dir):
     return A.result_json(search_filtered(spark, sf_dir))
 
 
+@query(f"""WITH {_P}, {_A}, {_W}, {_TOP.format(2000)}, f AS (SELECT a.doc_id, weight, n_chars FROM c JOIN a ON a.doc_id = c.doc_id WHERE n_chars BETWEEN 500 AND 3000),
+g AS (SELECT * FROM f ORDER BY n_chars DESC, doc_id DESC LIMIT 30 OFFSET 20)
+SELECT '{{"all_num":' || (SELECT count(*) FROM f) || ',"doc_list":[' || coalesce(string_agg('{{"doc_id":' || doc_id || ',"weight":' || weight || '}}', ',' ORDER BY n_chars DESC, doc_id DESC), '') || ']}}' AS json FROM g""")
+def result_envelope(spark, sf_dir):
+    q, rows = _search(spark, sf_dir, filters=[ZONE], sortby="n_chars", offset=20, size=30)
+    return A.result_envelope(q.page(rows), rows, ["doc_id", "weight"], "n_chars")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three weighted terms, the zone filter, one page."""
     q, rows = _search(spark, sf_dir, filters=[ZONE], size=100)

@@ -46,6 +46,10 @@ class SearchQuery:
             raise ValueError("a query needs a termlist")
         return cls(raw["termlist"], raw.get("filtlist") or [], raw.get("ranklist") or [], raw.get("sortby"), raw.get("groupcount"), raw.get("offset", 0), raw.get("size", MOST))
 
+    def words(self) -> list[str]:
+        """All terms and synonyms: what a stored index is asked for."""
+        return [t for t, *_ in expand_terms(self.terms)]
+
     def matches(self, postings: DataFrame, attributes: DataFrame, live: DataFrame | None = None) -> DataFrame:
         """All candidates that pass, with weight and attributes: what is counted, grouped and paged."""
         rows = weight_merge(postings, self.terms, self.candidates)

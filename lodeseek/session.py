@@ -28,6 +28,33 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "lodeseek")
     )
 
 
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below the one that all executors share (``spark.checkpoint.dir``); it goes when the
+    application ends.  Only a local session may have none: it gets a temporary one."""
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="lodeseek-")
+        base = _own_folders[app]
+    folder = f"{base.rstrip('/')}/lodeseek-{app}"
+    if folder not in _going:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _going.add(folder)
+    return folder
+
+
+_going: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, once per application."""
     app = spark.sparkContext.applicationId

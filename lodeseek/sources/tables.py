@@ -49,6 +49,14 @@ def result_json(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, F.to_json(F.struct(*map(F.col, rows.columns))).alias("json"))
 
 
+def result_envelope(page: DataFrame, matched: DataFrame, columns: list[str], sortby: str = "weight", tie: str = "doc_id") -> DataFrame:
+    """One row, json: ``all_num`` (all that matched) and ``doc_list``, the page in its order.  A page is small."""
+    order = F.struct(F.col(sortby), F.col(tie), F.struct(*columns).alias("row"))
+    listed = page.agg(F.transform(F.sort_array(F.collect_list(order), asc=False), lambda x: x["row"]).alias("doc_list"))
+    counted = matched.agg(F.count("*").alias("all_num"))
+    return counted.crossJoin(F.broadcast(listed)).select(F.to_json(F.struct("all_num", "doc_list")).alias("json"))  # one row each
+
+
 def sharded(rows: DataFrame, sign: Column, shards: int = 4) -> DataFrame:
     """Rows dealt to shards by signature, one partition each."""
     return rows.withColumn("shard", F.pmod(sign, F.lit(shards))).repartition(shards, "shard")
@@ -56,3 +64,12 @@ def sharded(rows: DataFrame, sign: Column, shards: int = 4) -> DataFrame:
 
 def show_postings(postings: DataFrame, term: str, n: int = 20) -> None:
     postings.where(F.col("term") == term).orderBy(F.desc("doc_id")).show(n, truncate=False)
+
+
+def show_attributes(attributes: DataFrame, ids: list[int], n: int = 20) -> None:
+    attributes.where(F.col("doc_id").isin(ids)).orderBy("doc_id").show(n, truncate=False)
+
+
+def show_log(messages: DataFrame, file_no: int, first: int = 0, n: int = 20) -> None:
+    """Blocks of one log file, in order."""
+    messages.where((F.col("file_no") == file_no) & (F.col("block_id") >= first)).orderBy("block_id").show(n, truncate=False)

@@ -22,3 +22,15 @@ def test_entry_without_the_subpackage(tmp_path):
     n, with_sql, pipeline = said.stdout.split()
     assert int(n) == int(with_sql) > 50
     assert pipeline == "False"
+
+
+def test_entry_with_a_subpackage_that_does_not_import(tmp_path):
+    """Not only a missing subpackage: one whose own imports fail takes none of the other queries along."""
+    shutil.copytree(ROOT / "lodeseek", tmp_path / "lodeseek", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "lodeseek" / "llm").mkdir()
+    (tmp_path / "lodeseek" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "lodeseek" / "llm" / "queries.py").write_text("import a_module_that_is_not_there\n")
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, check=True)
+    n, with_sql = said.stdout.split()
+    assert int(n) == int(with_sql) > 50

@@ -1,5 +1,8 @@
 """The operator fixtures, scaled down, with the counts that they must give."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,9 +12,12 @@ from lodeseek.operators import postings as P
 from lodeseek.operators import state as D
 from lodeseek.operators import topk as K
 from lodeseek.operators.predicates import apply_filters, build_predicate, filter_postings
-from lodeseek.operators.rank import proximity, ranking
+from lodeseek.operators.rank import proximity, proximity_scores, ranking
+from lodeseek.plans import catalog
 from lodeseek.plans.query import SearchQuery
 from lodeseek.plans.spec import FieldRule, IndexSpec
+from lodeseek.sources.segments import SegmentedIndex
+from lodeseek.streaming.apply import MESSAGE
 
 N = 8000
 
@@ -124,6 +130,21 @@ def test_proximity(spark):
     assert [r[0] for r in rows.select(proximity(F.col("x"))).collect()] == [3, None, 0]
 
 
+def test_proximity_of_postings(spark):
+    """The sweep against all choices of one position per term."""
+    rng = random.Random(2)
+    data, want = [], {}
+    for d in range(40):
+        lists = {t: sorted(rng.sample(range(60), rng.randint(0, 6))) for t in "abc"}
+        data += [(d, t, p) for t, p in lists.items() if p]
+        if all(lists.values()):
+            want[d] = min(sum(abs(x - y) for x, y in zip(c, c[1:])) for c in itertools.product(*lists.values()))
+    rows = spark.createDataFrame(data, "doc_id long, term string, positions array<int>")
+    assert {r.doc_id: r.spread for r in proximity_scores(rows, ["a", "b", "c"]).collect()} == want
+    assert {r.spread for r in proximity_scores(rows, ["a"]).collect()} == {0}
+    assert proximity_scores(rows, ["a", "none"]).collect() == []
+
+
 CONFIG = """{
   "FLEXINDEX": [ {"vid": {"op": "DOC_ID"}}, {"title": {"op": "NLP", "hit_field": "title_hit", "hit_weight": 5, "position": 1}},
     {"content": {"op": "NLP", "optional": 1}}, {"tags": {"op": "PREFIX", "type": "LIST_STR", "token": "TAG^", "optional": 1}} ], // rules
@@ -145,6 +166,28 @@ def test_spec_and_index(spark):
     assert [(r.doc_id, r.weight) for r in found] == [(2, 15), (1, 13)]
 
 
+def test_tokenizer_with_sub_tokens(spark):
+    """A segmenter that counts in characters and cuts compounds: sub-tokens count at their parent's first occurrence."""
+    spec = IndexSpec((FieldRule("id", "DOC_ID"), FieldRule("t", "NLP", position=True)), {"weight": 8, "hit_count": 3, "offset1": 8, "offset2": 8})
+    docs = spark.createDataFrame([(1, "sunflower oil sunflower sun"), (2, None)], "id long, t string")
+    starts = lambda c: F.transform(F.split(c, " "), lambda w, i: F.struct(F.length(F.array_join(F.slice(F.split(c, " "), 1, i), " ")).alias("pos"), w.alias("term"), F.when(w == "sunflower", F.array(F.struct(F.lit(0).alias("pos"), F.lit("sun").alias("term")), F.struct(F.lit(3).alias("pos"), F.lit("flower").alias("term")), F.struct(F.lit(9).alias("pos"), F.lit("").alias("term")))).alias("subs")))
+    got = {r.term: (r.hit_count, r.offset1, r.offset2) for r in P.build_postings(docs, spec, starts, subs=True).collect()}
+    assert got == {"sunflower": (2, 0, 13), "oil": (1, 9, 0), "sun": (2, 0, 23), "flower": (1, 3, 0)}
+    plain = lambda c: F.transform(F.split(F.upper(c), " "), lambda w, i: F.struct(i.alias("pos"), w.alias("term")))
+    assert {r.term: r.hit_count for r in P.build_postings(docs, spec, plain).collect()} == {"SUNFLOWER": 2, "OIL": 1, "SUN": 1}
+
+
+def test_tokens_stay_with_their_document(spark, sf):
+    """Texts are dealt once; tokens are never shuffled.  The stored index is asked for its terms only."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for rows in (P.index_nlp(docs), P.index_multifield(docs)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        assert plan.count("FileScan") == 1
+    plan = catalog.stored(spark, sf).read(["from"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [from])]" in plan or "EqualTo(term,from)" in plan
+
+
 def test_spec_errors():
     key, cell = FieldRule("id", "DOC_ID"), {"weight": 8}
     for rules, c in (
@@ -170,6 +213,71 @@ def test_postings_filter_and_compaction(spark, attrs):
     assert sorted((r.doc_id, r.weight) for r in P.merge_segments(old, new, 2).collect()) == [(2, 7), (3, 7)]
 
 
+def segment(spark, rows):
+    postings = spark.createDataFrame([(d, t, w) for d, terms in rows for t, w in terms.items()], "doc_id long, term string, weight long")
+    return postings, spark.createDataFrame([(d,) for d, _ in rows], "doc_id long")
+
+
+def contents(index, terms=None):
+    return sorted((r.doc_id, r.term, r.weight) for r in index.read(terms).collect())
+
+
+def test_segments_and_compaction(spark, tmp_path):
+    index = SegmentedIndex(spark, str(tmp_path / "index"))
+    assert not index.exists()
+    index.add(*segment(spark, [(1, {"a": 1, "b": 1, "c": 1}), (2, {"a": 2}), (3, {"a": 3})]))
+    index.add(*segment(spark, [(1, {"a": 7, "d": 7, "e": 7}), (4, {"a": 4})]))
+    index.add(*segment(spark, [(4, {"z": 5}), (5, {"a": 5}), (2, {})]))
+    want = [(1, "a", 7), (1, "d", 7), (1, "e", 7), (3, "a", 3), (4, "z", 5), (5, "a", 5)]
+    assert contents(index) == want
+    assert contents(index, ["b"]) == []  # the newest version has it no more
+    assert contents(index, ["a"]) == [w for w in want if w[1] == "a"]
+    index.compact(last=2)
+    assert len(index.segments()) == 2
+    assert contents(index) == want
+    gone = spark.createDataFrame([(3,)], "doc_id long")
+    index.compact(most=1, deleted=gone)
+    assert len(index.segments()) == 1
+    assert contents(index) == [(1, "d", 7), (1, "e", 7), (4, "z", 5), (5, "a", 5)]
+    assert sorted(r.doc_id for r in index.documents().collect()) == [1, 2, 4, 5]
+    assert sorted(p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("s")) == ["s0", "s3", "s4"]
+
+
+def engine_messages(spark, *rows):
+    return spark.createDataFrame([(1, *r) for r in rows], MESSAGE)
+
+
+@pytest.mark.parametrize("is_stored", [False, True])
+def test_engine_follows_its_log(spark, tmp_path, is_stored):
+    spec = IndexSpec((FieldRule("vid", "DOC_ID"), FieldRule("title", "NLP")), {"weight": 8, "hit_count": 3}, {"plays": 7, "kind": 8})
+    columns = "vid long, title string, plays long, kind long"
+    engine = SearchEngine(spec, spark.createDataFrame([(1, "a b", 6, 3), (2, "a c", 7, None)], columns))
+    if is_stored:
+        engine = engine.store(SegmentedIndex(spark, str(tmp_path / "index")))
+    found = lambda e, term="a": {r.doc_id: (r.plays, r.kind) for r in e.query(f'{{"termlist": [{{"term": "{term}", "weight": 2}}]}}').collect()}
+    assert found(engine) == {1: (6, 3), 2: (7, 0)}
+    engine = engine.apply(engine_messages(spark, (1, "DELETE", None, [1, 9], True, {})))
+    assert found(engine) == {2: (7, 0)}
+    engine = engine.apply(engine_messages(spark, (2, "UPDATE", 2, None, False, {"plays": 99}), (3, "UPDATE", 1, None, False, {"plays": 500})))
+    assert found(engine) == {2: (99, 0)}
+    engine = engine.apply(engine_messages(spark, (4, "RESTORE", None, [1], True, {})))
+    assert found(engine) == {1: (127, 3), 2: (99, 0)}
+    new = spark.createDataFrame([(2, "b b", None, 5), (3, "a", 5, None)], columns)
+    engine = engine.add(new, engine_messages(spark, (5, "UPDATE", 2, None, True, None), (6, "INSERT", 3, None, True, {"plays": 8})))
+    assert found(engine) == {1: (127, 3), 3: (8, 0)}
+    assert found(engine, "b") == {1: (127, 3), 2: (99, 5)}
+    assert found(engine, "c") == {}
+    engine = engine.apply(engine_messages(spark, (7, "DELETE", None, [2], True, {})))
+    assert found(engine, "b") == {1: (127, 3)}
+
+
+def test_live_rows_of_the_newest_version(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "doc long, at long")
+    state = spark.createDataFrame([(1, 2, True), (2, 3, False)], "doc long, at long, visible boolean")
+    assert [tuple(r) for r in D.filter_live(rows, state, "doc", "at").collect()] == [(1, 2)]
+    assert D.filter_live(rows, state, "doc").count() == 2
+
+
 def test_versions(spark):
     rows = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 3, "z")], "doc long, at long, v string")
     last = D.latest_version(rows, "doc", "at", ["v"])

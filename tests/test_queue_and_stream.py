@@ -44,6 +44,17 @@ def test_batches_give_what_one_batch_gives(spark, tmp_path):
     assert store.manifest() == before
 
 
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "state"), buckets=8)
+    apply_batch(store, frame(spark, [message(k, "INSERT", k, a=k) for k in range(1, 60)]), 0)
+    first = store.manifest()["held"]
+    assert len(first) == 8
+    apply_batch(store, frame(spark, [message(60, "UPDATE", 7, indexed=False, a=0)]), 1)
+    second = StateStore(spark, str(tmp_path / "state")).manifest()
+    assert sum(second["held"][k] != v for k, v in first.items()) == 1
+    assert {r.doc_id: r["values"]["a"] for r in store.read().collect()} == {k: k if k != 7 else 0 for k in range(1, 60)}
+
+
 def test_stream_restarts_where_it_stood(spark, tmp_path):
     log, schema = str(tmp_path / "log"), frame(spark, []).schema
     store = StateStore(spark, str(tmp_path / "state"))

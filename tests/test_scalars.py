@@ -53,3 +53,9 @@ def test_saturating_steps(spark):
         value = spark.range(1).select(S.saturate(F.lit(value) + 10, 7)).first()[0]
         seen.append(value)
     assert seen == [110, 120, 127, 127]
+
+
+def test_configuration_helpers(spark):
+    rows = spark.createDataFrame([(" \t a b", "  # x", "10.0.0.255"), ("a\n", "a # x", "256.1.1.1"), ("", "", "1.2.3"), (None, None, None), ("x", "#", "255.255.255.255")], "a string, b string, c string")
+    got = [tuple(r) for r in rows.select(S.strip(F.col("a")), S.is_comment(F.col("b")), S.is_valid_ip(F.col("c"))).collect()]
+    assert got == [("a", True, True), ("a", False, False), ("", False, False), (None, False, False), ("x", True, False)]
