@@ -8,7 +8,6 @@ survives the loss of any executor, and reading it cuts the lineage.
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,17 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own_roots: dict[str, str] = {}
-
+from lodeseek.session import shared_folder
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        base = _own_roots.setdefault(app, tempfile.mkdtemp(prefix="lodeseek-scratch-"))
-    return f"{base.rstrip('/')}/lodeseek-{app}"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
@@ -49,7 +40,7 @@ class Scratch:
     """Intermediate tables of one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -70,8 +61,9 @@ class Scratch:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this application, once nothing that reads them is left to run."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    """Delete all intermediate tables of this application now, once nothing that reads them is left to run; otherwise
+    they go when the application ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
