@@ -17,7 +17,6 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,24 +149,26 @@ def fit_arrays(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int =
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on at most ``sample`` labelled documents; null labels and ids are left out.
 
-    The sample of labels is broadcast (bounded by ``sample``); features are made on the executors, and only
-    hashed features of the sample come to the driver.
+    An id that several labels have counts by its lowest grade; of several rows with one id, the one whose text has the
+    smallest hash is fitted.  Null texts count as empty.  Empty tables give a model that scores every text alike.
+    The sample of labels is broadcast (bounded by ``sample``); features are made on the executors, and only hashed
+    features of the sample, one row an id, come to the driver.
     """
     rated = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     grade = F.when(F.col("toxic") > 0, 0).otherwise(1 + F.least(F.greatest(F.col("quality"), F.lit(0)), F.lit(1))).cast("int")
     chosen = rated.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(grade).alias("grade")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    texts = doc_texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "grade")
+    texts = doc_texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "grade", F.xxhash64("text").alias("hash"))
 
     def make():
         tokens = _tokens()
-        return lambda batch: {"doc_id": batch.column(0), "grade": batch.column(2), "features": [sorted(features(t, tokens)) for t in batch.column(1).to_pylist()]}
+        return lambda batch: {"doc_id": batch.column(0), "grade": batch.column(2), "hash": batch.column(3), "features": [np.array(sorted(features(t, tokens)), dtype="<i4").tobytes() for t in batch.column(1).to_pylist()]}
 
-    got = map_batches(texts, make, "doc_id long, grade int, features array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    got = got.slice(0, 2 * sample).combine_chunks()
-    found = got.column("features")
-    flat = [chunk.flatten().to_numpy() for chunk in found.chunks]
-    sizes = pc.list_value_length(found).to_numpy()
-    return fit_arrays(np.concatenate(flat) if flat else np.empty(0, dtype=np.int32), sizes.astype(np.int64), got.column("grade").to_numpy().astype(np.int64))
+    # Rows of one id are cut to one before they are shuffled, so an id that many rows share is no burden.
+    made = map_batches(texts, make, "doc_id long, grade int, hash long, features binary")
+    got = made.groupBy("doc_id").agg(F.min(F.struct("hash", "features", "grade")).alias("x")).select("doc_id", "x.features", "x.grade").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    packed = got.column("features").to_pylist()
+    sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+    return fit_arrays(np.frombuffer(b"".join(packed), dtype="<i4"), sizes, got.column("grade").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +193,11 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns, as they are) whose P(grade >= 2) is at least ``least``."""
+    """The rows of ``docs`` (all columns, as they are) whose P(grade >= 2) is at least ``least``.
+
+    Null texts are judged as empty ones; null ids and repeated rows are judged by their own text; an empty table gives
+    an empty table.
+    """
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
     def p_good(texts):
