@@ -12,6 +12,8 @@ of the same pattern, summed in blocks, so nothing is quadratic in the number of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +31,16 @@ _BLOCK = 256
 _SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
-def _running(lens: Column) -> Column:
-    """Sums of the elements before each one, in blocks of ``_BLOCK``."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / _BLOCK).cast("int")), lambda b: F.slice(lens, b * _BLOCK + 1, F.lit(_BLOCK)))
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` makes of all elements before each one, from 0 on, in blocks of ``_BLOCK``."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
 
     def before(xs: Column, first: Column) -> Column:
         zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("all"))
-        return F.aggregate(xs, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+        return F.aggregate(xs, zero, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
 
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), before(sums, F.lit(0)).alias("o")), lambda z: before(z["b"], z["o"])))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), step))
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), before(totals, F.lit(0)).alias("o")), lambda z: before(z["b"], z["o"])))
 
 
 def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None, least: int = 0) -> Column:
@@ -47,7 +49,7 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None
     gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else matches
     lens = F.transform(F.arrays_zip(gaps.alias("g"), matches.alias("m")), lambda z: F.struct(F.length(z["g"]).alias("g"), F.coalesce(F.length(z["m"]), F.lit(0)).alias("m")))
-    starts = _running(F.transform(lens, lambda x: x["g"] + x["m"]))
+    starts = _running(F.transform(lens, lambda x: x["g"] + x["m"]), lambda a, x: a + x)
     rows = F.transform(
         F.arrays_zip(lens.alias("l"), starts.alias("b"), F.transform(values, F.length).alias("v")),
         lambda z: F.struct((z["b"] + z["l"]["g"]).alias("s"), F.lit(kind).alias("k"), (z["b"] + z["l"]["g"] + z["l"]["m"]).alias("e"), F.coalesce(z["v"], F.lit(-1)).alias("v")),
@@ -109,18 +111,22 @@ def mask_secrets(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text
     """``docs`` with every reported span, base or linked, replaced by ``MASK``; overlapping spans give one mask.
 
     Rows without spans, and null texts, come back unchanged; ``length_col`` is set to the new length in code points.
+    Null ids, ties and repeated rows stay, each row on its own; an empty table gives an empty table; other columns come
+    back as they are.  The cost is linear in the text and in the number of spans.
     """
     text = F.col(f"row.`{text_col}`")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        piece = F.array(F.substr(text, a["at"] + 1, x["s"] - a["at"]), F.lit(MASK))
-        return F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), F.concat(a["out"], piece).alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
-
-    spans = F.sort_array(F.concat("base", "linked"))
-    masked = F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
-    new = F.when(F.size("base") + F.size("linked") > 0, masked).otherwise(text)
-    scanned = scan_secrets(docs, scope, id_col, text_col, carry_text=True).withColumn("_new", new)
+    scanned = scan_secrets(docs, scope, id_col, text_col, carry_text=True).withColumn("_x", F.sort_array(F.concat("base", "linked")))
+    # Positions are code points: at four bytes each, a piece is cut without counting from the start of the text.
+    scanned = scanned.withColumn("_wide", F.when(F.size("_x") > 0, F.encode(text, "UTF-32")))
+    scanned = scanned.withColumn("_to", F.when(F.size("_x") > 0, _running(F.transform("_x", lambda x: x["e"]), lambda a, e: F.greatest(a, e))))
+
+    def cut(start: Column, n: Column) -> Column:
+        return F.decode(F.substring(F.col("_wide"), start * 4 + 1, n * 4), "UTF-32")
+
+    pieces = F.transform(F.arrays_zip(F.col("_x").alias("x"), F.col("_to").alias("to")), lambda z: F.when(z["x"]["s"] >= z["to"], F.concat(cut(z["to"], z["x"]["s"] - z["to"]), F.lit(MASK))).otherwise(""))
+    last = F.array_max(F.transform("_x", lambda x: x["e"]))
+    masked = F.concat(F.array_join(pieces, ""), cut(last, F.length(text) - last))
+    scanned = scanned.withColumn("_new", F.when(F.size("_x") > 0, masked).otherwise(text))
     kinds = dict(docs.dtypes)
     return scanned.select(*(F.col("_new").alias(c) if c == text_col else F.when(F.col("_new").isNull(), F.col(f"row.`{c}`")).otherwise(F.length("_new")).cast(kinds[c]).alias(c) if c == length_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 

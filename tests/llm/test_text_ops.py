@@ -1,8 +1,10 @@
 """Secret scans, decontamination, quality and chat formatting against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -68,6 +70,25 @@ def test_masks(spark):
     assert secret_scan.mask_secrets(docs.limit(0)).collect() == []
 
 
+def test_masks_of_long_texts_and_overlaps(spark):
+    """Many spans in a long text, beyond the basic plane, spans that overlap or touch, against a plain loop."""
+    rng = random.Random(5)
+    parts = ["token = abcdefgh ", "é😀 ", "AKIA" + "B7C8" * 4 + " ", "secret=" + "0123456789abcdef" * 2 + " ", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY ", "https://e.example/x ", "x" * 50 + " "]
+    data = [(k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))) for k in range(60)] + [(99, "😀 token = abcdefgh " * 12_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    spans = {r.doc_id: sorted(tuple(x) for x in [*r.base, *r.linked]) for r in secret_scan.scan_secrets(docs).collect()}
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in secret_scan.mask_secrets(docs).collect()}
+    assert time.perf_counter() - began < 60
+    for d, text in data:
+        out, at = [], 0
+        for s, _, e in spans[d]:
+            if s >= at:
+                out += [text[at:s], secret_scan.MASK]
+            at = max(at, e)
+        assert got[d] == "".join(out) + text[at:]
+
+
 def test_secret_scan_is_native(spark, sf):
     plan = secret_scan.op8_secret_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -174,6 +195,69 @@ def test_fit_orders_grades():
     assert [expected[y[1000:] == g].mean() for g in range(3)] == sorted(expected[y[1000:] == g].mean() for g in range(3))
 
 
+def plain_loss(params, made, y, cost, l2):
+    """The penalised cumulative-link likelihood, term by term."""
+    *w, t0, log_gap = params
+    cuts = [-math.inf, t0, t0 + math.exp(log_gap), math.inf]
+    below = lambda k, s: 0.0 if k == 0 else 1.0 if k == 3 else 1 / (1 + math.exp(-(cuts[k] - s)))
+    total = 0.0
+    for row, g, c in zip(made, y, cost):
+        s = sum(w[f] for f in row)
+        total -= c * math.log(max(below(g + 1, s) - below(g, s), 1e-300))
+    return total / len(y) + l2 / 2 * sum(x * x for x in w)
+
+
+def test_fit_is_that_of_another_optimiser():
+    """Against gradient descent on numeric gradients of the likelihood written out term by term."""
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 240)
+    made = [[k for k in range(3) if rng.random() < (0.7 if k == g else 0.25)] for g in y]
+    model = quality.fit(made, y.tolist(), steps=3000, l2=0.01, rate=0.02, least_z=0.0)
+    balance = np.sqrt(len(y) / (3 * np.bincount(y, minlength=3)))
+    cost = balance[y] / balance[y].mean()
+    loss = lambda p: plain_loss(p, made, y.tolist(), cost.tolist(), 0.01)
+    at = np.zeros(5)
+    for _ in range(400):
+        slope = np.array([(loss(at + d) - loss(at - d)) / 2e-5 for d in 1e-5 * np.eye(5)])
+        at -= 1.5 * slope
+    fitted = np.array([*model.weights[:3], model.thresholds[0], np.log(np.diff(model.thresholds)[0])])
+    assert abs(loss(fitted) - loss(at)) < 1e-5
+    assert np.abs(fitted - at).max() < 0.02
+
+
+def test_training_rows_are_one_an_id(spark, monkeypatch):
+    """At most ``sample`` rows are fitted, one of each id, however often a table repeats it; the choice is defined."""
+    data = [(1, f"word{k % 2} same", "x") for k in range(50)] + [(2, "bad words", "x"), (None, "no id", "x"), (3, None, "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, grade string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (3, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_arrays", lambda flat, sizes, y: seen.append((flat.tolist(), sizes.tolist(), y.tolist())))
+    quality.train(docs, labels)
+    quality.train(docs.repartition(7), labels)
+    assert seen[0] == seen[1]
+    assert seen[0][2] == [2, 0, 1]
+    quality.train(docs, labels, sample=1)
+    assert len(seen[2][1]) == 1
+    quality.train(docs.limit(0), labels)
+    assert seen[3] == ([], [], [])
+
+
+def test_selection_is_that_of_the_scores(spark, sf):
+    """op9's rows and the stage's rows against the model applied text by text."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    want = {}
+    for r in docs.collect():
+        score = sum(model.weights[f].astype(np.float32).astype(float) for f in quality.features(r.text or "", quality._tokens()))
+        tails = [1 / (1 + math.exp(min(max(t - score, -60), 60))) for t in model.thresholds]
+        if tails[-1] >= 0.5:
+            want[r.doc_id] = (sum(tails), *tails)
+    got = {r.doc_id: (r.expected_grade, r.p_clean, r.p_good) for r in quality.op9_quality(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k]) for k in want)
+    assert {r.doc_id for r in quality.keep_good(docs, model).collect()} == want.keys()
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
