@@ -1,4 +1,4 @@
-"""Suffix dedup, SimHash and nearest neighbours against brute force; the pipeline stage by stage."""
+"""Suffix dedup, SimHash and nearest neighbours against brute force."""
 
 import hashlib
 import random
@@ -8,7 +8,6 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-import corpus_pipeline
 from lodeseek.llm import ann, simhash
 from lodeseek.llm import suffix_dedup as S
 from lodeseek.llm._common import Scratch
@@ -227,26 +226,3 @@ def test_nearest_of_odd_rows(spark):
     got = sorted(map(tuple, ann.nearest(vectors, vectors.where("vec_id in (20, 3, 8)"), 3).collect()))
     assert got == [(20, 1, 1, 1.0), (20, 2, 2, 1.0), (20, 3, 7, 0.5)]
     assert ann.nearest(vectors.limit(0), vectors, 3).collect() == ann.nearest(vectors, vectors.limit(0), 3).collect() == []
-
-
-def test_pipeline_stages(spark, sf):
-    from lodeseek.llm.decontaminate import leaks
-    from lodeseek.llm.secret_scan import scan_secrets
-
-    scratch = Scratch(spark, "stages")
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, seen = docs.columns, {}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = scratch.keep(stage(spark, docs, sf), name)
-        seen[name] = docs
-        if name != "bpe_encoding":
-            assert docs.columns == columns
-    first = {r.doc_id: r.text for r in seen["quality_classifier"].collect()}
-    fps = [brute_fingerprint(t) for t in first.values()]
-    kept = {r.doc_id for r in seen["simhash_near_dedup"].collect()}
-    assert kept == set(brute_components(list(first), fps))
-    clean = seen["benchmark_decontamination"]
-    assert leaks(clean, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0
-    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in seen["secret_scans"].collect()} == {r.doc_id for r in docs.collect()}
-    assert scan_secrets(seen["secret_scans"]).where("size(base) > 0").count() == 0
-    assert corpus_pipeline.run(spark, sf).count() == docs.count()
