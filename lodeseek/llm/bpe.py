@@ -191,7 +191,11 @@ def bpe_encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_file: str, to_text: bool = False) -> DataFrame:
-    """From (doc_id, ids) to (doc_id, text); null ids give an empty text."""
+    """From (doc_id, ids) to (doc_id, text), one output row per input row.
+
+    Null and empty ``ids`` give an empty text, ids that the file does not know are left out; null doc_ids and repeated
+    rows stay; an empty table gives an empty table; other columns are ignored.
+    """
     from pyspark.sql import functions as F
 
     def make():
@@ -204,7 +208,8 @@ def bpe_decode(encoded: DataFrame, tokenizer_file: str, to_text: bool = False) -
 
 
 def bpe_pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Like ``bpe_encode`` but doc_id, n_tokens and the ids packed as little-endian unsigned 32-bit integers."""
+    """Like ``bpe_encode``, nulls, repeats and empty tables included, but doc_id, n_tokens and the ids packed as
+    little-endian unsigned 32-bit integers."""
 
     def make():
         bpe = word_bpe(tokenizer_file)
@@ -219,7 +224,8 @@ def bpe_pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_
 
 
 def bpe_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Like ``bpe_encode`` but with digests in place of ids and decoded text, so that nothing large leaves Python."""
+    """Like ``bpe_encode``, nulls, repeats and empty tables included, but with digests in place of ids and decoded
+    text, so that nothing large leaves Python."""
 
     def make():
         bpe = word_bpe(tokenizer_file)

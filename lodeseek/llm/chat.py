@@ -95,7 +95,11 @@ def format_chats(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from ``format_chats``' output, as digests."""
+    """What can be read back from ``format_chats``' output, as digests, one row per conversation.
+
+    A conversation without assistant texts has zero loss_chars and the digest of nothing; a null conv_id stays; an
+    empty table gives an empty table; columns behind the first four are ignored.
+    """
     schema, arrow = arrow_schema("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

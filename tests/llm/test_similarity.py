@@ -144,6 +144,11 @@ def test_components_of_paths_and_hubs(spark):
     assert got == {k: 100 for k in range(100, 161)} | {k: 500 for k in range(500, 540)}
 
 
+def test_components_of_no_links(spark):
+    for links in ([], [(1, 1)], [(None, 2)]):
+        assert connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect() == []
+
+
 def test_keep_one_of_odd_rows(spark):
     data = [(5, "a b c d e"), (3, "A b c d e"), (3, "A b c d e"), (None, "a b c d e"), (9, None), (8, ""), (1, "other words stand here")]
     docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS fp", "'x' AS component_id")

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from lodeseek.llm import token_binary as B
 from lodeseek.llm import token_counts as C
-from lodeseek.llm.bpe import WordBpe, bpe_decode, bpe_digests, bpe_encode, bpe_pack
+from lodeseek.llm.bpe import WordBpe, bpe_decode, bpe_digests, bpe_encode, bpe_pack, op6_bpe
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -97,7 +97,32 @@ def test_bpe_rows(spark):
         assert np.frombuffer(packed[k].ids, "<u4").tolist() == by[k].ids
         assert digests[k].ids_sha256 == hashlib.sha256(packed[k].ids).hexdigest()
         assert digests[k].decoded_sha256 == hashlib.sha256(by[k].decoded.encode()).hexdigest()
-    assert bpe_encode(docs.limit(0), WORDS).collect() == []
+    for operator in (bpe_encode, bpe_pack, bpe_digests):
+        assert operator(docs.limit(0), WORDS).collect() == []
+        assert operator(docs.selectExpr("*", "1 AS ids", "2 AS decoded"), WORDS).count() == 6
+    odd = spark.createDataFrame([(None, None, "x"), (1, [], "x"), (1, [], "x"), (2, [10**6], "x")], "doc_id long, ids array<int>, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in bpe_decode(odd, WORDS).collect()) == [(0, ""), (1, ""), (1, ""), (2, "")]
+    assert bpe_decode(odd.limit(0), WORDS).collect() == []
+
+
+def test_queries_are_those_of_the_libraries(spark):
+    """op1 and op6 over a whole table, every column."""
+    import sentencepiece
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    pieces, words = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(WORDS)
+    words.no_truncation()
+    words.no_padding()
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    counts, encoded = {}, {}
+    for r in docs:
+        text = r.text or ""
+        n, ids = len(pieces.encode(text)), words.encode(text, add_special_tokens=False).ids
+        counts[r.doc_id] = (len(text.encode()), n, n > 4096)
+        encoded[r.doc_id] = (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(words.decode(ids, skip_special_tokens=False).encode()))
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in C.op1_token_counts(spark, d).collect()} == counts
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op6_bpe(spark, d).collect()} == encoded
 
 
 @pytest.mark.parametrize(("n", "limit"), [(1, 16), (2, 4), (5, 3), (300, 9), (300, 16), (5000, 13)])
