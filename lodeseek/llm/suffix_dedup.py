@@ -7,18 +7,20 @@ corpus order is needed to that depth only.  It is built in the manner of prefix-
    is a trigger.  Triggers depend on nothing but the bytes around them, so equal 200-byte strings have their
    trigger at the same place.  Consecutive suffixes that share a trigger form a phrase, which stands for the
    stretch of text that these suffixes cover to their depth.
-2. Dictionary and parse.  Equal phrases have one entry, kept as a hash; the parse is the list of entries of all
-   documents.  A phrase whose trigger occurs once is unique; a phrase entry that the parse holds twice makes all
-   its suffixes repeats.  Both follow from counts, and most of the corpus is settled here.
-3. Order of suffixes.  Where one trigger has several entries, the suffixes inside these entries (each entry once,
-   however often the parse has it) are ranked by trigger and depth-limited hash, which puts equal ones side by
-   side exactly as a suffix array of the dictionary would; the parse's counts are their multiplicities.  Groups of
-   ``STEP`` suffixes are ranked first, by the bytes that all of them share: a group alone in its rank holds no
-   repeat, one whose rank holds it alike is all repeats, and only the others, at the ends of matches, are ranked
-   suffix by suffix.
-
-Ranks are equality classes (64-bit hash within a 64-bit trigger), not lexicographic: a suffix array sorted into
-one order would need every suffix in one range-partitioned sort, while classes aggregate before they are shuffled.
+2. Dictionary and parse.  Equal phrases have one entry; the parse is the list of entries of all documents, of which
+   only the number of each is needed, as every ``LENGTH``-byte string lies inside one phrase.  A phrase whose trigger
+   occurs once is unique; a phrase entry that the parse holds twice makes all its suffixes repeats.  Both follow from
+   counts, and most of the corpus is settled here.
+3. Suffix array of the dictionary.  Where one trigger has several entries, the suffixes inside these entries (each
+   entry once, however often the parse has it) are sorted by their bytes, dealt to tasks by ranges of this order; equal
+   neighbours are repeats, and the parse's counts are their multiplicities.  The array is sampled first: of each
+   ``STEP`` suffixes, the bytes that all of them share are sorted.  A sample without an equal neighbour holds no
+   repeat, one whose neighbours are equal in all their bytes is all repeats, and only the suffixes of the others, at
+   the ends of matches, are sorted one by one.
+
+A run of equal neighbours may be as long as a group of copies: it is spread over tasks like any other part of the order,
+and a task settles the runs that begin and end in it.  Of the others (two a task, and runs of more than ``RUN`` rows) the
+counts are combined by their bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm._common import Scratch, arrow_schema, documents, slices
@@ -36,6 +39,7 @@ from lodeseek.llm._common import Scratch, arrow_schema, documents, slices
 LENGTH = 200
 GRAM = 100
 STEP = 8
+RUN = 50_000
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -207,57 +211,126 @@ def _spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFram
     settled = scratch.keep(repeated.where("not mixed").select("rid", "p", "n").unionByName(repeated.where("mixed").select("rid", "p", "n", "g", "r").join(twice, ["g", "r"]).select("rid", "p", "n")), "settled")
     scratch.drop("repeated")
 
-    # Suffixes of the dictionary entries of mixed triggers, each entry once, in groups of STEP by distance to the trigger.
+    # Samples of the suffixes of mixed triggers' entries, each entry once, by distance to the trigger.
     wanted = entries.select("one.rid", F.struct(F.col("one.p").alias("p"), F.col("one.n").alias("n"), F.col("one.o").alias("o"), "g", F.least("c", F.lit(2)).alias("c")).alias("x")).groupBy("rid").agg(F.collect_list("x").alias("xs"))
-    group_schema, group_arrow = arrow_schema("g long, k long, f long, c int, rid long, p int, n int, hs array<long>")
+    sample_schema, sample_arrow = arrow_schema("rid long, p int, n int, c int, off short, tail binary, body binary")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, CHUNK):
             for rid, text, xs in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                data = np.frombuffer(text.encode(), dtype=np.uint8)
+                data = text.encode()
                 p, n, o, g, c = (np.array([x[k] for x in xs], dtype=np.int64) for k in ("p", "n", "o", "g", "c"))
-                for base in range(0, len(data), CHUNK):
-                    here = (p >= base) & (p < base + CHUNK)
-                    if here.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) if not isinstance(x, pa.Array) else x for x, t in zip(_groups(data, base, length, p[here], n[here], o[here], g[here], c[here], rid), group_arrow)], schema=group_arrow)
+                part = np.cumsum(n) // CHUNK
+                for k in np.unique(part):
+                    yield from _samples(data, rid, *(x[part == k] for x in (p, n, o, g, c)), length, sample_arrow)
 
-    groups = scratch.keep(source.select("rid", "text").join(wanted, "rid").select("rid", "text", "xs").mapInArrow(expand, group_schema), "groups")
+    samples = scratch.keep(source.select("rid", "text").join(wanted, "rid").select("rid", "text", "xs").mapInArrow(expand, sample_schema), "samples")
     scratch.drop("entries")
-    ranks = scratch.keep(groups.groupBy("g", "k").agg(F.sum("c").alias("t"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("t > 1").select("g", "k", (F.col("f0") != F.col("f1")).alias("open")), "ranks")
-    ranked = groups.join(ranks, ["g", "k"]).where("c = 1 or open")
-    ranked = scratch.keep(ranked.select("g", "c", "rid", "p", "n", "open", F.when(F.col("open"), F.col("hs")).alias("hs")), "ranked")
-    scratch.drop("groups", "ranks")
-    suffixes = scratch.keep(ranked.where("open").select("g", "c", "rid", "p", F.posexplode("hs").alias("i", "h")).select("g", "h", "c", "rid", (F.col("p") + F.col("i")).alias("p")), "suffixes")
-    alike = scratch.keep(suffixes.groupBy("g", "h").agg(F.sum("c").alias("t")).where("t > 1").select("g", "h"), "alike")
-    equal = suffixes.where("c = 1").join(alike, ["g", "h"]).select("rid", "p", F.lit(1).alias("n"))
-    found = settled.unionByName(ranked.where("c = 1 and not open").select("rid", "p", "n")).unionByName(equal)
-    runs = scratch.keep(found.groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("runs")), "runs")
-    scratch.drop("settled", "ranked", "suffixes", "alike")
+    shared = F.concat(F.substring(F.col("body"), F.col("off") + 1, F.lit(length - STEP + 1)), F.col("tail"))
+    ranked = _in_order(samples, shared, scratch, "ranked")
+    scratch.drop("samples")
+
+    suffix_schema, suffix_arrow = arrow_schema("rid long, p int, n int, c int, off short, body binary")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4, CHUNK >> 2):
+            rid, p, n, c = (batch.column(k).to_numpy() for k in range(4))
+            bodies = [b[i : i + length] for b, size in zip(batch.column(4).to_pylist(), n.tolist()) for i in range(size)]
+            number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            columns = np.repeat(rid, n), np.repeat(p, n) + number, np.ones(len(number)), np.repeat(c, n), np.zeros(len(number)), bodies
+            yield pa.RecordBatch.from_arrays([pa.array(x if isinstance(x, list) else x.astype(f.type.to_pandas_dtype()), type=f.type) for x, f in zip(columns, suffix_arrow)], schema=suffix_arrow)
+
+    suffixes = scratch.keep(ranked.where(f"kind = {OPEN}").select("rid", "p", "n", "c", "body").mapInArrow(cut, suffix_schema), "suffixes")
+    equal = _in_order(suffixes, F.col("body"), scratch, "equal")
+    repeated = [x.where(f"kind = {ALIKE} and c = 1").select("rid", "p", "n") for x in (ranked, equal)]
+    runs = scratch.keep(settled.unionByName(repeated[0]).unionByName(repeated[1]).groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("runs")), "runs")
+    scratch.drop("settled", "ranked", "suffixes", "equal")
     return source.join(runs, "rid", "left").select("doc_id", "text", "runs")
 
 
-def _groups(data: np.ndarray, base: int, length: int, p: np.ndarray, n: np.ndarray, o: np.ndarray, g: np.ndarray, c: np.ndarray, rid: int) -> tuple:
-    """Columns g, k, f, c, rid, p, n, hs of the groups of suffixes of the entries at ``p``.
+def _samples(data: bytes, rid: int, p: np.ndarray, n: np.ndarray, o: np.ndarray, g: np.ndarray, c: np.ndarray, length: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Samples of the suffixes of the entries at ``p``: those whose distance to the trigger is STEP * s .. STEP * s + STEP - 1.
 
-    A group holds the suffixes whose distance to the trigger is STEP * s .. STEP * s + STEP - 1.  ``k`` is the rank of
-    the bytes that all of these share, wherever the entry ends; ``f`` that of all bytes of those that it has; ``hs``
-    are the ranks of its suffixes.
+    ``body`` is all bytes of the sample's suffixes, the first of which starts at ``p``; at ``off`` lie the bytes that
+    all of them share, wherever the entry ends.  ``tail`` is the trigger and s: only suffixes that stand alike to one
+    trigger can be equal.
     """
-    rolling = Rolling(data[base : base + 2 * CHUNK + length])
     entry = np.repeat(np.arange(len(p)), n)
-    at = p[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) - base
-    trigger = (p + o)[entry] - base
-    step = (trigger - at) // STEP
+    at = p[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+    step = ((p + o)[entry] - at) // STEP
     first = np.flatnonzero((np.diff(entry, prepend=-1) != 0) | (np.diff(step, prepend=-1) != 0))
     size = np.diff(np.append(first, len(entry)))
-    h = rolling.of(at, at + length)
-    lead, q, s = at[first], trigger[first], step[first]
-    shared = rolling.of(q - STEP * s, q - STEP * s - STEP + 1 + length)
-    k = _mix(shared ^ (s.astype(np.uint64) << np.uint64(40)))
-    f = _mix(rolling.of(lead, lead + size - 1 + length) ^ ((q - lead).astype(np.uint64) << np.uint64(32)) ^ size.astype(np.uint64))
-    hs = pa.ListArray.from_arrays(pa.array(np.append(first, len(entry)).astype(np.int32)), pa.array(h.view(np.int64)))
-    e = entry[first]
-    return g[e], k.view(np.int64), f.view(np.int64), c[e], np.full(len(e), rid), lead + base, size, hs
+    lead, e, s = at[first], entry[first], step[first]
+    off = (p + o)[e] - STEP * s - lead
+    tails = np.zeros(len(e), dtype=[("g", ">i8"), ("s", ">i2")])
+    tails["g"], tails["s"] = g[e], s
+    tail = pa.FixedSizeBinaryArray.from_buffers(pa.binary(10), len(e), [None, pa.py_buffer(tails.tobytes())]).cast(pa.binary())
+    for k in range(0, len(e), 20_000):
+        here = slice(k, k + 20_000)
+        bodies = [data[a:z] for a, z in zip(lead[here].tolist(), (lead + size - 1 + length)[here].tolist())]
+        columns = np.full(len(bodies), rid), lead[here], size[here], c[e][here], off[here]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(columns, schema)), tail[here], pa.array(bodies, pa.binary())], schema=schema)
+
+
+#: What a row's run of equal neighbours says: all its members are alike and stand twice at least; they are equal in the
+#: key only; it reaches over the end of its task.
+ALIKE, OPEN, EDGE = 1, 2, 3
+_ORDERED = "kind int, rid long, p int, n int, c int, off short, key binary, body binary"
+
+
+def _in_order(rows: DataFrame, key: Column, scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` (rid, p, n, c, off, body) in runs of equal ``key``, from one sort of all rows by key: (kind, rid, p, n,
+    c, body) of the rows whose runs stand for two occurrences at least.
+
+    Ranges are of (key, rid), so a long run fills several tasks.
+    """
+    schema, arrow = arrow_schema(_ORDERED)
+    ordered = rows.repartitionByRange(key, "rid").withColumn("key", key).sortWithinPartitions("key", "rid", "p")
+    names = ["rid", "p", "n", "c", "off", "key", "body"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, edge, begun = None, None, False
+
+        def out(some: pa.RecordBatch, kind: np.ndarray) -> pa.RecordBatch:
+            keep = kind > 0
+            some, kind = some.filter(pa.array(keep)), kind[keep]
+            key = pc.if_else(pa.array(kind == EDGE), some.column("key"), pa.scalar(None, pa.binary()))
+            body = pc.if_else(pa.array(kind != ALIKE), some.column("body"), pa.scalar(None, pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(some.column(c) for c in names[:5]), key, body], schema=arrow)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            n = batch.num_rows
+            as_before = {c: np.append(False, pc.equal(batch.column(c).slice(1), batch.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False)) for c in ("key", "off", "n", "body")}
+            start = np.flatnonzero(~as_before["key"])
+            end = np.append(start[1:], n)
+            total = np.add.reduceat(batch.column("c").to_numpy().astype(np.int64), start)
+            same = as_before["off"] & as_before["n"] & as_before["body"]
+            same[start] = True
+            alike = np.logical_and.reduceat(same, start)
+            verdict = np.where(total < 2, 0, np.where(alike, ALIKE, OPEN))
+            if not begun or batch.column("key")[0].as_py() == edge:
+                verdict[0], edge, begun = EDGE, batch.column("key")[0].as_py(), True
+            last = len(start) - 1
+            if verdict[last] != EDGE and end[last] - start[last] > RUN:
+                verdict[last], edge = EDGE, batch.column("key")[int(start[last])].as_py()
+            # The last run may go on in the next batch; one that is an edge anyway need not be held.
+            stop = n if verdict[last] == EDGE else int(start[last])
+            held = batch.slice(stop) if stop < n else None
+            yield out(batch.slice(0, stop), np.repeat(verdict, end - start)[:stop])
+        if held is not None:
+            yield out(held, np.full(held.num_rows, EDGE))
+
+    found = scratch.keep(ordered.select(*names).mapInArrow(scan, schema), name)
+    edges = found.where(f"kind = {EDGE}")
+    member = F.struct("off", "n", "body")
+    # Two runs a task at most, and those of more than RUN rows: few enough to broadcast, whatever the corpus.
+    sums = edges.groupBy("key").agg(F.sum("c").alias("t"), F.min(member).alias("a"), F.max(member).alias("z")).where("t > 1").select("key", F.when(F.col("a") == F.col("z"), ALIKE).otherwise(OPEN).alias("_kind"))
+    decided = edges.join(F.broadcast(sums), "key").select(F.col("_kind").alias("kind"), "rid", "p", "n", "c", "body")
+    return found.where(f"kind < {EDGE}").select(decided.columns).unionByName(decided)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

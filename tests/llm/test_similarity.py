@@ -48,6 +48,27 @@ def test_repeats_of_periodic_and_mixed_texts(spark):
     assert digests(got.collect()) == sorted(brute_repeats([(i, t.encode()) for i, t in data]))
 
 
+def test_long_runs_over_small_batches(spark, monkeypatch):
+    """One passage in many contexts: runs of equal suffixes that reach over batches and tasks, and longer ones than a
+    task settles itself."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [word(230), word(400)]
+    data = [(i, word(rng.randint(0, 60)) + rng.choice(shared)[: rng.randint(200, 400)] + word(rng.randint(0, 60))) for i in range(150)]
+    data += [(200 + i, word(300)) for i in range(10)] + [(300 + i, shared[0]) for i in range(20)]
+    want = sorted(brute_repeats([(i, t.encode()) for i, t in data]))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for rows_, longest in ((10_000, S.RUN), (7, 3), (50, 20)):
+            spark.conf.set(size, rows_)
+            monkeypatch.setattr(S, "RUN", longest)
+            assert digests(S.repeats(docs).collect()) == want
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_chunks_do_not_change_the_result(spark, monkeypatch):
     rng = random.Random(6)
     base = "".join(rng.choice("abcdef ") for _ in range(3000))
