@@ -327,9 +327,10 @@ def _in_order(rows: DataFrame, key: Column, scratch: Scratch, name: str) -> Data
     found = scratch.keep(ordered.select(*names).mapInArrow(scan, schema), name)
     edges = found.where(f"kind = {EDGE}")
     member = F.struct("off", "n", "body")
-    # Two runs a task at most, and those of more than RUN rows: few enough to broadcast, whatever the corpus.
+    # Two runs a task at most, and those of more than RUN rows.  Their number grows with that of the tasks, so no broadcast
+    # is asked for: the adaptive plan sends them if they turn out small, and else splits the long runs' side of the join.
     sums = edges.groupBy("key").agg(F.sum("c").alias("t"), F.min(member).alias("a"), F.max(member).alias("z")).where("t > 1").select("key", F.when(F.col("a") == F.col("z"), ALIKE).otherwise(OPEN).alias("_kind"))
-    decided = edges.join(F.broadcast(sums), "key").select(F.col("_kind").alias("kind"), "rid", "p", "n", "c", "body")
+    decided = edges.join(sums, "key").select(F.col("_kind").alias("kind"), "rid", "p", "n", "c", "body")
     return found.where(f"kind < {EDGE}").select(decided.columns).unionByName(decided)
 
 
