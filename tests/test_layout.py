@@ -5,10 +5,24 @@ import shutil
 import subprocess
 import sys
 from pathlib import Path
+from types import SimpleNamespace
+
+import pytest
+
+from lodeseek.session import shared_folder
 
 ROOT = Path(__file__).resolve().parent.parent
 
 
+def test_a_cluster_must_name_its_shared_folder(spark):
+    """A local session gets a temporary folder; elsewhere one is asked for."""
+    assert shared_folder(spark) == shared_folder(spark)
+    none = SimpleNamespace(get=lambda key, default: default)
+    cluster = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(applicationId="a", master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+
+
 def test_only_the_subpackage_and_its_pipeline_import_it():
     for file in (ROOT / "lodeseek").rglob("*.py"):
         if "llm" not in file.relative_to(ROOT).parts:
