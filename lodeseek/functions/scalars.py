@@ -27,6 +27,19 @@ def token_positions(text: Column) -> Column:
     return F.transform(tokens(text), lambda x, i: F.struct(i.alias("pos"), x.alias("term")))
 
 
+def char_segments(text: Column, inner: str = r"[^\p{L}\p{N}]+") -> Column:
+    """Array of (pos, term, subs): tokens as ``tokens`` cuts them, pos counted in characters from 0, and below each token
+    that ``inner`` (a pattern) cuts further its distinct parts, at the token's place.  Linear in the text."""
+    chars = F.split(F.coalesce(text, F.lit("")), "")
+    starts = F.filter(F.transform(chars, lambda c, i: F.when((c != " ") & (c != "") & ((i == 0) | (F.get(chars, i - 1) == " ")), i)), lambda i: i.isNotNull())
+
+    def segment(at: Column, term: Column) -> Column:
+        parts = F.array_distinct(F.filter(F.split(term, inner), lambda x: (x != "") & (x != term)))
+        return F.struct(at.alias("pos"), term.alias("term"), F.transform(parts, lambda x: F.struct(at.alias("pos"), x.alias("term"))).alias("subs"))
+
+    return F.zip_with(starts, tokens(text), segment)
+
+
 def title(text: Column) -> Column:
     """The first line."""
     return F.substring_index(F.coalesce(text, F.lit("")), "\n", 1)
@@ -123,3 +136,14 @@ def bitfield_set(packed: Column, name: str, value: Column, widths: dict[str, int
     """``packed`` with one field replaced; its neighbours stay."""
     at, bits = bit_layout(widths)[name], widths[name]
     return packed.bitwiseAND(F.lit(~(((1 << bits) - 1) << at))).bitwiseOR(F.shiftleft(saturate(value, bits), at))
+
+
+def bitfield_entries(packed: Column, widths: dict[str, int]) -> Column:
+    """Array of (field, value) of all fields, in the layout's order."""
+    return F.array(*(F.struct(F.lit(n).alias("field"), bitfield_get(packed, n, widths).alias("value")) for n in widths))
+
+
+def bitmap_has(bitmap: Column, position: Column) -> Column:
+    """Whether a bitmap of ``bitmap_construct_agg`` has the bit at this position (from 0)."""
+    byte = F.conv(F.hex(F.substr(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))

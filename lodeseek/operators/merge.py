@@ -61,3 +61,8 @@ def must_hit_all(postings: DataFrame, terms: list[dict]) -> DataFrame:
 def group_count(rows: DataFrame, key: str) -> DataFrame:
     """(key, n): rows per value."""
     return rows.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def doc_bitmaps(rows: DataFrame, key: str, id_col: str = "doc_id") -> DataFrame:
+    """(key, bucket, bitmap): the documents of each key as bitmaps of 32,768 bits; tasks combine theirs before the shuffle."""
+    return rows.groupBy(key, F.bitmap_bucket_number(F.col(id_col)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(id_col))).alias("bitmap"))

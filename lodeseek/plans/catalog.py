@@ -79,6 +79,17 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("operation", operation)
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of the engine: inserts, deletions, restorals, and views, which update the attribute plays."""
+    acts = {"signup": "INSERT", "error": "DELETE", "purchase": "RESTORE", "view": "UPDATE"}
+    kind = F.create_map(*(F.lit(x) for kv in acts.items() for x in kv))[F.col("event_type")]
+    listed, view = F.col("event_type").isin("error", "purchase"), F.col("event_type") == "view"
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<long>"))
+    columns = [F.lit(0).cast("long"), F.col("event_id"), kind, F.when(~listed, F.col("user_id")), F.when(listed, F.array("user_id")), ~view, F.when(view, F.create_map(F.lit("plays"), F.col("event_id") % 1000)).otherwise(none)]
+    names = [c.split()[0] for c in MESSAGE.split(", ")]
+    return table(spark, sf_dir, "events").where("event_type <> 'click'").select(*(c.alias(n) for c, n in zip(columns, names)))
+
+
 #: Pieces of SQL that several queries share.
 _P = "p AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM documents) WHERE term <> '')"
 _A = """a AS (SELECT d.doc_id, d.n_chars, CAST(regexp_extract(d.source, '(\\d+)$', 1) AS BIGINT) AS siteno,
@@ -155,14 +166,7 @@ def engine_replay(spark, sf_dir):
     """The engine over all documents after a log of inserts, attribute updates (views), deletions and restorals."""
     docs = table(spark, sf_dir, "documents").withColumn("plays", F.lit(None).cast("long"))
     spec = IndexSpec((FieldRule("doc_id", "DOC_ID"), FieldRule("text", "NLP")), {"weight": 8, "hit_count": 3}, {"n_chars": 32, "plays": 32})
-    acts = {"signup": "INSERT", "error": "DELETE", "purchase": "RESTORE", "view": "UPDATE"}
-    kind = F.create_map(*(F.lit(x) for kv in acts.items() for x in kv))[F.col("event_type")]
-    listed, view = F.col("event_type").isin("error", "purchase"), F.col("event_type") == "view"
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<long>"))
-    columns = [F.lit(0).cast("long"), F.col("event_id"), kind, F.when(~listed, F.col("user_id")), F.when(listed, F.array("user_id")), ~view, F.when(view, F.create_map(F.lit("plays"), F.col("event_id") % 1000)).otherwise(none)]
-    names = [c.split()[0] for c in MESSAGE.split(", ")]
-    messages = table(spark, sf_dir, "events").where("event_type <> 'click'").select(*(c.alias(n) for c, n in zip(columns, names)))
-    engine = SearchEngine(spec, docs, index=stored(spark, sf_dir)).apply(messages)
+    engine = SearchEngine(spec, docs, index=stored(spark, sf_dir)).apply(messages(spark, sf_dir))
     return engine.matches(SearchQuery(TERMS, [{"field": "plays", "method": "ZONE", "min": 0, "max": 900}]))
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from lodeseek.plans import catalog
+from lodeseek.plans import catalog, maintenance  # noqa: F401
 from tests.compare import same
 
 
