@@ -30,14 +30,20 @@ def token_positions(text: Column) -> Column:
 def char_segments(text: Column, inner: str = r"[^\p{L}\p{N}]+") -> Column:
     """Array of (pos, term, subs): tokens as ``tokens`` cuts them, pos counted in characters from 0, and below each token
     that ``inner`` (a pattern) cuts further its distinct parts, at the token's place.  Linear in the text."""
-    chars = F.split(F.coalesce(text, F.lit("")), "")
-    starts = F.filter(F.transform(chars, lambda c, i: F.when((c != " ") & (c != "") & ((i == 0) | (F.get(chars, i - 1) == " ")), i)), lambda i: i.isNotNull())
+
+    def places(chars: Column) -> Column:
+        return F.filter(F.transform(chars, lambda c, i: F.when((c != " ") & (c != "") & ((i == 0) | (F.get(chars, i - 1) == " ")), i)), lambda i: i.isNotNull())
 
     def segment(at: Column, term: Column) -> Column:
         parts = F.array_distinct(F.filter(F.split(term, inner), lambda x: (x != "") & (x != term)))
         return F.struct(at.alias("pos"), term.alias("term"), F.transform(parts, lambda x: F.struct(at.alias("pos"), x.alias("term"))).alias("subs"))
 
-    return F.zip_with(starts, tokens(text), segment)
+    return F.zip_with(bound(F.split(F.coalesce(text, F.lit("")), ""), places), tokens(text), segment)
+
+
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value made once, however often ``f`` names it, also below other functions of elements."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def title(text: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.functions.scalars import distinct_tokens, prefixed, prefixed_list, saturate, title, token_positions
+from lodeseek.functions.scalars import bound, distinct_tokens, prefixed, prefixed_list, saturate, title, token_positions
 from lodeseek.plans.spec import FieldRule, IndexSpec
 
 #: A term keeps at most so many postings.
@@ -101,9 +101,10 @@ def _with_subs(tokens: Column, number: int) -> Column:
 
     said = F.filter(tokens, lambda t: t["term"] != "")
     whole = F.transform(said, cell)
-    names = F.transform(said, lambda t: t["term"])
-    first = F.filter(said, lambda t, i: F.array_position(names, t["term"]) == i + 1)
-    subs = F.flatten(F.transform(first, lambda t: F.transform(F.filter(F.coalesce(t["subs"], F.array().cast(SUBS)), lambda x: x["term"] != ""), cell)))
+    # In order of terms, a token that differs from the one before it is its term's first: n log n, whatever the text.
+    sorted_ = F.array_sort(F.transform(said, lambda t, i: F.struct(t["term"].cast("string").alias("term"), i.alias("i"), F.coalesce(t["subs"], F.array().cast(SUBS)).alias("subs"))))
+    first = bound(sorted_, lambda x: F.filter(x, lambda t, i: (i == 0) | (F.get(x, i - 1)["term"] != t["term"])))
+    subs = F.flatten(F.transform(first, lambda t: F.transform(F.filter(t["subs"], lambda x: x["term"] != ""), cell)))
     return F.concat(whole, subs)
 
 

@@ -1,7 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.functions import scalars as S
+from lodeseek.operators.merge import doc_bitmaps
+from lodeseek.operators.postings import build_postings
+from lodeseek.plans.spec import FieldRule, IndexSpec
 
 
 def bkdr(data: bytes) -> int:
@@ -59,3 +64,33 @@ def test_configuration_helpers(spark):
     rows = spark.createDataFrame([(" \t a b", "  # x", "10.0.0.255"), ("a\n", "a # x", "256.1.1.1"), ("", "", "1.2.3"), (None, None, None), ("x", "#", "255.255.255.255")], "a string, b string, c string")
     got = [tuple(r) for r in rows.select(S.strip(F.col("a")), S.is_comment(F.col("b")), S.is_valid_ip(F.col("c"))).collect()]
     assert got == [("a", True, True), ("a", False, False), ("", False, False), (None, False, False), ("x", True, False)]
+
+
+def _segments(text):
+    """Brute force: (pos, term, parts) of each token, places in characters."""
+    out = []
+    for m in re.finditer("[^ ]+", text or ""):
+        parts = [x for x in dict.fromkeys(re.split(r"[\W_]+", m[0])) if x and x != m[0]]
+        out.append((m.start(), m[0], [(m.start(), x) for x in parts]))
+    return out
+
+
+def test_segments_count_in_characters(spark):
+    texts = [None, "", "   ", "ab", " ab-c  déf \U0001f600 x_y-x ", "a-b a-b\n\tq", "x" * 5000, "ab-c d " * 6000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r.k: [(t.pos, t.term, [(s.pos, s.term) for s in t.subs]) for t in r.s] for r in rows.select("k", S.char_segments(F.col("text")).alias("s")).collect()}
+    assert got == {k: _segments(t) for k, t in enumerate(texts)}
+
+
+def test_sub_tokens_count_once_in_a_long_text(spark):
+    rules = (FieldRule("doc_id", "DOC_ID"), FieldRule("text", "NLP", position=True))
+    spec = IndexSpec(rules, {"weight": 8, "hit_count": 32, "offset1": 32, "offset2": 32})
+    docs = spark.createDataFrame([(1, "ab-c d " * 6000), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.term: (r.hit_count, r.offset1, r.offset2) for r in build_postings(docs, spec, S.char_segments, subs=True).collect()}
+    assert got == {"ab-c": (6000, 0, 5999 * 7), "d": (6000, 5, 5999 * 7), "ab": (1, 0, 0), "c": (1, 0, 0)}
+
+
+def test_bitmap_bits(spark):
+    rows = spark.createDataFrame([("a", 0), ("a", 18), ("a", 18), ("a", 40000), ("b", 8)], "key string, doc_id long")
+    maps = doc_bitmaps(rows, "key").select("key", "bucket", S.bitmap_has(F.col("bitmap"), F.lit(17)).alias("x"), S.bitmap_has(F.col("bitmap"), F.lit(7)).alias("y"))
+    assert {(r.key, r.bucket): (r.x, r.y) for r in maps.collect()} == {("a", 0): (False, False), ("a", 1): (True, False), ("a", 2): (False, False), ("b", 1): (False, True)}
