@@ -23,7 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each component of near copies (word 5-shingles, Jaccard 0.8)."""
+    """One document, the one with the least id, of each component of near copies: pairs that
+    SimHash fingerprints bring together, verified (word 5-shingles, Jaccard 0.8)."""
     return drop_near_copies(docs)
 
 

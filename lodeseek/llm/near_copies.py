@@ -1,15 +1,17 @@
-"""Near copies by content: documents whose sets of word 5-shingles have a Jaccard similarity of at least 0.8.
-
-Two 64-bit SimHash fingerprints of such texts differ in up to a dozen bits and more, a radius at which anchors
-are near everything; so candidates come from bands of minwise hashes of the shingle sets here.  ``BANDS`` keys of
-``ROWS`` minima each: a pair of similarity 0.8 shares a key with a probability of 0.9999.  Every candidate pair is
-verified by the exact similarity of its shingle sets before it links anything, and components come from verified
-links only.
-
-Rows with equal shingle sets count as one node, so large groups of exact copies make no pairs.  A bucket (the nodes
-that share a key) makes a bounded number of candidates a node: first each node with the bucket's least one; then,
-where these have not connected them, each node with the ``LAGS`` before it in an order that is drawn anew for each
-bucket.  Buckets of up to ``LAGS`` + 1 nodes are compared in full.
+"""SimHash near-dedup by content: documents whose sets of word 5-shingles have a Jaccard similarity of at least 0.8.
+
+Fingerprints are SimHashes of the shingle set, ``WORDS`` of 64 bits, each under a hash of its own.  One such word
+differs in about 10 bits at a similarity of 0.8, a radius at which the anchors of one covering code are near
+everything; so each half of a word has a code of its own, and a text goes only to its home in each: the nearest anchor
+of the binary Golay code to 23 bits, told apart by ``SPARE`` bits more.  Texts of similarity 0.8 share one of the
+2 x ``WORDS`` homes with a probability of 0.99999 (0.998 for sets of 4 and 5 shingles, the least that are not equal).
+Two texts that share a home are candidates if the sizes of their sets allow the similarity and their first words
+differ in at most as many bits as ``RADIUS`` says, some four deviations above the mean at 0.8.  Every candidate pair is verified by the exact similarity of its
+shingle sets before it links anything, and components come from verified links only.
+
+Rows with equal shingle sets count as one node, so large groups of exact copies make no pairs.  A node with more than
+``FEW`` candidates at a home gives two of them at first; once these have made components, all candidates between
+different components are verified, however many they are.  No bucket is cut.
 """
 
 from __future__ import annotations
@@ -18,19 +20,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm._common import Scratch, arrow_schema, map_batches
 from lodeseek.llm.components import connected_components
+from lodeseek.llm.simhash import PAIRS, SECTION, homes
 
 SIMILARITY = 0.8
 SHINGLE = 5
-BANDS, ROWS = 24, 5
-LAGS = 8
+WORDS, SPARE = 64, 2
+#: Bits by number of words compared: ``CHECKED`` of all texts, ``CLOSER`` of those with many candidates.
+RADIUS = {4: 70, 16: 240}
+CHECKED, CLOSER = RADIUS
+FEW = 8
 SEED = 42
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64)
-_TIMES, _PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+#: Smaller sets are similar to equal ones only.
+LEAST = 4
+PART = 4096
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, WORDS), dtype=np.uint64)
+_PLUS, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
 
 def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -45,14 +54,45 @@ def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found)))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The ``BANDS`` keys of a shingle set."""
-    from xxhash import xxh64_intdigest
-
-    least = np.empty(BANDS * ROWS, dtype=np.uint64)
-    for k in range(BANDS * ROWS):
-        least[k] = ((hashes ^ _PLUS[k]) * _TIMES[k]).min() if len(hashes) else 0
-    return np.array([xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64)
+def _planes(words: np.ndarray) -> list[np.ndarray]:
+    """How many rows of ``words`` have each bit set, in binary: one row of bits for each binary digit, lowest first.
+
+    Three rows of one weight make one of that weight and one of twice the weight, as in an adder."""
+    planes = []
+    while len(words):
+        carries = []
+        while len(words) > 2:
+            m = len(words) // 3
+            a, b, c = words[:m], words[m : 2 * m], words[2 * m : 3 * m]
+            odd = a ^ b
+            carries.append(a & b | odd & c)
+            words = np.concatenate([odd ^ c, words[3 * m :]])
+        if len(words) == 2:
+            carries.append(words[:1] & words[1:])
+            words = words[:1] ^ words[1:]
+        planes.append(words[0])
+        words = np.concatenate(carries) if carries else words[:0]
+    return planes
+
+
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` SimHashes (uint64) of a shingle set: a bit is 1 if it is set in over half the hashes of that word."""
+    counts = np.zeros(64 * WORDS, dtype=np.int64)
+    for k in range(0, len(hashes), PART):
+        mixed = (hashes[k : k + PART, None] ^ _PLUS) * _TIMES
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _TIMES
+        mixed ^= mixed >> np.uint64(29)
+        for weight, plane in enumerate(_planes(mixed)):
+            counts += np.unpackbits(plane.astype("<u8").view(np.uint8), bitorder="little").astype(np.int64) << weight
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def keys(fingerprints: np.ndarray) -> np.ndarray:
+    """The 2 x ``WORDS`` homes (int64) of fingerprints (rows of ``WORDS``); each code has numbers of its own."""
+    halves = fingerprints.astype("<u8").view("<u4").astype(np.int64).reshape(len(fingerprints), 2 * WORDS)
+    at = homes(halves & ((1 << SECTION) - 1)) << SPARE | halves >> SECTION & ((1 << SPARE) - 1)
+    return np.arange(2 * WORDS) << (12 + SPARE) | at
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -66,30 +106,105 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """Of (row, text, doc_id): row, doc_id, key (128 bits of the shingle set) and the packed bands."""
+    """Of (row, text, doc_id): row, doc_id, key (128 bits of the shingle set), its size and the packed fingerprint,
+    which is empty where only equal sets are similar."""
 
     def make():
         from xxhash import xxh3_128_digest
 
         def work(batch):
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            return {"row": batch.column(0), "doc_id": batch.column(2), "key": [xxh3_128_digest(s.tobytes()) for s in sets], "bands": [bands(s).tobytes() for s in sets]}
+            packed = [fingerprint(s).tobytes() if len(s) >= LEAST else b"" for s in sets]
+            return {"row": batch.column(0), "doc_id": batch.column(2), "key": [xxh3_128_digest(s.tobytes()) for s in sets], "size": [len(s) for s in sets], "fp": packed}
 
         return work
 
-    return map_batches(texts, make, "row long, doc_id long, key binary, bands binary")
-
-
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(band, row) for each band of each node."""
-    schema, arrow = arrow_schema("band long, row long")
+    return map_batches(texts, make, "row long, doc_id long, key binary, size long, fp binary")
+
+
+def _near(at: np.ndarray, row: np.ndarray, root: np.ndarray, checked: np.ndarray, similarity: float, few: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of whole buckets, sorted by ``at`` (home and size of the set): candidates (a, b), and rows that have others too."""
+    # In a bucket a set meets those after it that are not too large to be similar.
+    most = np.floor((at & 0xFFFFFFFF) / similarity + 1e-6).astype(np.int64)
+    each = np.searchsorted(at, at >> 32 << 32 | np.minimum(most, 0xFFFFFFFF), side="right") - np.arange(len(at)) - 1
+    ends = np.cumsum(each)
+    i = 0
+    while i < len(at):
+        to = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, side="right")), i + 1)
+        n = each[i:to]
+        left = np.repeat(np.arange(i, to), n)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + left + 1
+        i = to
+        open_ = root[left] != root[right]
+        left, right = left[open_], right[open_]
+        bits = np.bitwise_count(checked[0][left] ^ checked[0][right]).astype(np.int64)
+        for word in checked[1:]:
+            bits += np.bitwise_count(word[left] ^ word[right])
+        near = bits <= RADIUS[len(checked)]
+        left, right, bits = left[near], right[near], bits[near]
+        more = np.empty(0, dtype=np.int64)
+        if few is not None and len(left):
+            over = np.bincount(left)[left] > few
+            more = np.unique(row[np.concatenate([left[over], right[over]])])
+            take = ~over
+            # Of many candidates, the least row and the one with the nearest fingerprint.
+            for rank in (row[right], bits):
+                order = np.lexsort((row[right], rank, left))
+                take[order[np.flatnonzero(np.diff(left[order], prepend=-1))]] = True
+            left, right = left[take], right[take]
+        a, b = row[left], row[right]
+        if len(a):
+            # One task holds several codes' buckets, in which a pair may meet again.
+            a, b = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        yield a, b, more
+
+
+def _candidates(nodes: DataFrame, similarity: float, words: int, few: int | None = None) -> DataFrame:
+    """(a, b): rows that share a home and may be similar, of different roots.  With ``few``, at most that many a row
+    and home; rows where these are not all are a with a null b.  One shuffle, by home."""
+    schema, arrow = arrow_schema("at long, row long, root long, " + ", ".join(f"f{k} long" for k in range(words)))
+    out_schema, out_arrow = arrow_schema("a long, b long")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], schema=arrow)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                fps = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
+                size = np.minimum(batch.column(2).to_numpy(), 0xFFFFFFFF)
+                at = (keys(fps) << 32 | size[:, None]).ravel()
+                columns = [batch.column(c).to_numpy() for c in range(2)] + [fps[:, c].view(np.int64) for c in range(words)]
+                yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.repeat(c, 2 * WORDS)) for c in columns)], schema=arrow)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows, last = 0, None
+
+        def run(parts):
+            at, row, root, *checked = (np.concatenate(x) for x in zip(*parts))
+            for a, b, more in _near(at, row, root, np.array(checked).view(np.uint64), similarity, few):
+                if len(a) or len(more):
+                    ends = pa.concat_arrays([pa.array(b), pa.nulls(len(more), pa.int64())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, more])), ends], schema=out_arrow)
 
-    return nodes.select("row", "bands").mapInArrow(spread, schema)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = tuple(batch.column(k).to_numpy() for k in range(3 + words))
+            homes_ = columns[0] >> 32
+            if rows > 1 << 18 and homes_[-1] != last:
+                # Whole buckets go out; the batch's last bucket may go on in the next batch.
+                cut = int(np.searchsorted(homes_, homes_[-1]))
+                yield from run([*held, tuple(c[:cut] for c in columns)])
+                columns = tuple(c[cut:] for c in columns)
+                held, rows = [], 0
+            held.append(columns)
+            rows += len(columns[0])
+            last = homes_[-1]
+        if held:
+            yield from run(held)
+
+    spreaded = nodes.select("row", "root", "size", "fp").where(f"size >= {LEAST}").mapInArrow(spread, schema)
+    return spreaded.repartition(F.shiftright("at", 32)).sortWithinPartitions("at").mapInArrow(compare, out_schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
@@ -123,33 +238,32 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
 
     The row that stays has the least id of its component, null ids last, and of equal ids the first row.  Each row
     is judged by its own text, whatever rows share its id.  Null and empty texts are copies of each other.  An empty
-    table gives an empty table.  The bands are laid out for a ``similarity`` of 0.8 or more.
+    table gives an empty table.  The fingerprints are laid out for a ``similarity`` of 0.8 or more.
     """
     scratch = Scratch(docs.sparkSession, "near_copies")
     number = "_row_" + scratch.root[-12:]
     numbered = scratch.keep(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     texts = numbered.select(F.col(number).alias("row"), F.coalesce(numbered[text_col].cast("string"), F.lit("")).alias("text"), numbered[id_col].cast("long").alias("doc_id"))
     order = [F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row")]
-    first = _sketches(texts).groupBy("key").agg(F.min(F.struct(*order, "bands")).alias("x"))
-    nodes = scratch.keep(first.select("x.row", "x.doc_id", "x.bands"), "nodes")
-    buckets = scratch.keep(_buckets(nodes), "buckets")
-
-    least = buckets.select("row", F.min("row").over(Window.partitionBy("band")).alias("least")).where("row != least")
-    links = _verified(least.select(F.col("row").alias("a"), F.col("least").alias("b")), texts, similarity, scratch, "least")
-    roots = scratch.keep(connected_components(links, scratch), "roots")
-
-    known = buckets.join(roots.withColumnRenamed("node", "row"), "row", "left").select("band", "row", F.coalesce("root", "row").alias("root"))
-    drawn = Window.partitionBy("band").orderBy(F.xxhash64("band", "row"), "row")
-    before = F.array_compact(F.array(*[F.lag(F.struct("row", "root"), k).over(drawn) for k in range(1, LAGS + 1)]))
-    others = known.select("row", "root", before.alias("before")).select("row", F.explode(F.filter("before", lambda x: x["root"] != F.col("root"))).alias("x"))
-    more = _verified(others.select(F.greatest("row", "x.row").alias("a"), F.least("row", "x.row").alias("b")), texts, similarity, scratch, "more")
+    first = _sketches(texts).groupBy("key").agg(F.min(F.struct(*order, "size", "fp")).alias("x"))
+    nodes = scratch.keep(first.select("x.row", "x.doc_id", "x.size", "x.fp"), "nodes")
+
+    found = scratch.keep(_candidates(nodes.withColumn("root", F.col("row")), similarity, CHECKED, FEW).distinct(), "found")
+    links = _verified(found.where("b is not null"), texts, similarity, scratch, "first")
+    open_ = scratch.keep(found.where("b is null").select(F.col("a").alias("row")), "open")
+    if not open_.isEmpty():
+        # What the few have not connected, in full.
+        roots = scratch.keep(connected_components(links, scratch), "roots").withColumnRenamed("node", "row")
+        left = nodes.join(open_.hint("merge"), "row", "left_semi").join(roots.hint("merge"), "row", "left")
+        rest = _candidates(left.withColumn("root", F.coalesce("root", "row")), similarity, CLOSER)
+        links = links.unionByName(_verified(rest, texts, similarity, scratch, "more"))
 
     again = Scratch(docs.sparkSession, "near_copies")
-    roots = again.keep(connected_components(links.unionByName(more), again), "roots")
+    roots = again.keep(connected_components(links, again), "roots")
     linked = nodes.select("row", "doc_id").join(roots.hint("merge"), nodes["row"] == roots["node"])
     best = linked.groupBy("root").agg(F.min(F.struct(*order)).alias("x")).select("x.row")
     alone = nodes.select("row").join(roots.hint("merge"), nodes["row"] == roots["node"], "left_anti")
     kept = again.keep(alone.unionByName(best), "kept")
-    scratch.drop("nodes", "buckets", "least_links", "more_links", "roots")
+    scratch.drop("nodes", "found", "open", "first_links", "more_links", "roots")
     again.drop("roots")
     return numbered.join(kept.hint("merge"), numbered[number] == kept["row"], "left_semi").drop(number)

@@ -110,6 +110,14 @@ def anchors(fingerprints: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.nd
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def homes(words: np.ndarray) -> np.ndarray:
+    """The number (12 bits) of the nearest anchor of one section, for 23-bit words (int64)."""
+    bytes_, by_excess = _code(0)
+    first, _, flat = by_excess[0]
+    syndromes = bytes_[0][words & 255] ^ bytes_[1][words >> 8 & 255] ^ bytes_[2][words >> 16]
+    return (words ^ flat[first[syndromes]]) >> 11
+
+
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links with the same components as the links (a, b), one from each node to its component's least."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

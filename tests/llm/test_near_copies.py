@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from lodeseek.llm import near_copies, simhash
 from lodeseek.llm.near_copies import drop_near_copies
 
 
@@ -70,3 +73,82 @@ def test_rows_that_share_or_lack_an_id(spark):
     """Each row is judged by its own text."""
     data = [(3, "one two three four five six"), (7, "one two three four five six"), (7, "quite other words stand in this row"), (7, "and a third text under this id"), (None, "rows without any id hold this"), (None, "rows without any id hold this"), (None, "One two three four five six"), (9, None), (8, "")]
     assert kept(spark, data) == brute_kept(data) == [0, 2, 3, 4, 8]
+
+
+def test_fingerprints_are_simhashes_of_the_shingle_set():
+    """Each bit is the majority of that bit over the shingles' hashes, ties to 0; sets longer than a part too."""
+    rng, mask = np.random.default_rng(3), (1 << 64) - 1
+    for n in (1, 2, 4, 37, near_copies.PART + 5):
+        hashes = rng.integers(0, 1 << 64, size=n, dtype=np.uint64)
+        got = near_copies.fingerprint(hashes)
+        assert len(got) == near_copies.WORDS
+        for w in (0, near_copies.WORDS - 1):
+            counts = [0] * 64
+            for h in hashes.tolist():
+                z = (h ^ int(near_copies._PLUS[w])) * int(near_copies._TIMES[w]) & mask
+                z = (z ^ z >> 32) * int(near_copies._TIMES[w]) & mask
+                z ^= z >> 29
+                counts = [c + (z >> b & 1) for b, c in enumerate(counts)]
+            assert int(got[w]) == sum(1 << b for b, c in enumerate(counts) if 2 * c > n)
+
+
+def test_homes_are_the_nearest_anchors():
+    anchors = [0]
+    for k in range(12):
+        anchors += [a ^ simhash.GENERATOR << k for a in anchors]
+    anchors = np.array(anchors, dtype=np.int64)
+    words = np.random.default_rng(5).integers(0, 1 << simhash.SECTION, size=300)
+    nearest = [anchors[np.bitwise_count(anchors ^ w).argmin()] >> 11 for w in words]
+    assert simhash.homes(words).tolist() == nearest
+    assert len(set(simhash.homes(anchors).tolist())) == 1 << 12
+
+
+def test_similar_sets_share_a_home():
+    """At a similarity of exactly 0.8, where fingerprints differ most."""
+    rng = np.random.default_rng(8)
+    for n, m, common in ((8, 10, 8), (9, 9, 8), (90, 90, 80), (36, 45, 36)):
+        for _ in range(100):
+            hashes = rng.integers(0, 1 << 64, size=n + m - common, dtype=np.uint64)
+            a, b = near_copies.fingerprint(hashes[:n]), near_copies.fingerprint(hashes[n - common :])
+            assert near_copies.similar(np.sort(hashes[:n]), np.sort(hashes[n - common :]))
+            assert (near_copies.keys(a[None]) == near_copies.keys(b[None])).any()
+            assert all(np.bitwise_count(a[:w] ^ b[:w]).sum() <= r for w, r in near_copies.RADIUS.items())
+
+
+def test_candidates_come_from_fingerprints(spark):
+    """Pairs that share a home, of sizes and within bits that allow the similarity; no others, and none twice told."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.getrandbits(20)}" for _ in range(rng.randint(8, 120))]
+        texts += [" ".join(edited(rng, words, k)) for k in range(3)]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    fps = np.array([near_copies.fingerprint(s) for s in sets])
+    at = near_copies.keys(fps)
+    want = set()
+    for a in range(len(texts)):
+        for b in range(a):
+            low, high = sorted((len(sets[a]), len(sets[b])))
+            bits = np.bitwise_count(fps[a, : near_copies.CHECKED] ^ fps[b, : near_copies.CHECKED]).sum()
+            if (at[a] == at[b]).any() and high <= low / 0.8 and bits <= near_copies.RADIUS[near_copies.CHECKED]:
+                want.add((a, b))
+    nodes = spark.createDataFrame([(k, k, len(s), bytearray(f.tobytes())) for k, (s, f) in enumerate(zip(sets, fps))], "row long, root long, size long, fp binary")
+    for few in (None, near_copies.FEW):
+        got = near_copies._candidates(nodes, 0.8, near_copies.CHECKED, few).distinct().collect()
+        assert {(r.a, r.b) for r in got} == want
+    assert len(want) > 12
+
+
+def test_more_near_copies_than_are_compared_at_first(spark):
+    """Large groups: one that drifts, whose ends are not similar, and one of texts that are similar or just not."""
+    rng = random.Random(12)
+    words, data = [f"w{rng.getrandbits(20)}" for _ in range(120)], []
+    for k in range(80):
+        words = edited(rng, words, 2)
+        data.append((1000 - len(data), " ".join(words)))
+    base = [f"v{rng.getrandbits(20)}" for _ in range(160)]
+    for k in range(80):
+        data.append((1000 - len(data), " ".join(edited(rng, base, rng.randint(2, 6)))))
+    want = brute_kept(data)
+    assert 2 < len(want) < 100
+    assert kept(spark, data) == want
