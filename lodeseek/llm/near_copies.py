@@ -10,8 +10,13 @@ differ in at most as many bits as ``RADIUS`` says, some four deviations above th
 shingle sets before it links anything, and components come from verified links only.
 
 Rows with equal shingle sets count as one node, so large groups of exact copies make no pairs.  A node with more than
-``FEW`` candidates at a home gives two of them at first; once these have made components, all candidates between
-different components are verified, however many they are.  No bucket is cut.
+``FEW`` candidates at a home is open: it gives two of them at first, at the homes of the first ``FIRST`` codes; the
+other codes leave out pairs of nodes that these have found open, as later rounds take them up in all codes.  Once
+these have made components, open nodes do the same with candidates of other components, and at last all candidates
+between open nodes of different components are verified.  Candidates of open nodes are ruled out by rare shingles: one
+that no other open node has, or whose mark the other lacks, is not common to the two, and what is left bounds their
+similarity.  That bound is exact, so no link between components is lost and no bucket is cut.  For a group of texts
+about one base the pairs verified grow with its size, not with its square.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm._common import Scratch, arrow_schema, map_batches
 from lodeseek.llm.components import connected_components
-from lodeseek.llm.simhash import PAIRS, SECTION, homes
+from lodeseek.llm.simhash import SECTION, homes
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -33,11 +38,15 @@ WORDS, SPARE = 64, 2
 #: Bits by number of words compared: ``CHECKED`` of all texts, ``CLOSER`` of those with many candidates.
 RADIUS = {4: 70, 16: 240}
 CHECKED, CLOSER = RADIUS
-FEW = 8
+FEW, FIRST = 2, 16
+#: A shingle of at most ``RARE`` open nodes sets one of ``MARKS`` bits in each.
+RARE, MARKS = 64, 512
 SEED = 42
 #: Smaller sets are similar to equal ones only.
 LEAST = 4
 PART = 4096
+#: Pairs compared at once.
+PAIRS = 1 << 19
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, WORDS), dtype=np.uint64)
 _PLUS, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
@@ -122,7 +131,29 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return map_batches(texts, make, "row long, doc_id long, key binary, size long, fp binary")
 
 
-def _near(at: np.ndarray, row: np.ndarray, root: np.ndarray, checked: np.ndarray, similarity: float, few: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _masks(marks: pa.ListArray) -> np.ndarray:
+    """Lists of bits (0 to ``MARKS`` - 1) as rows of uint64."""
+    bits = np.zeros((len(marks), MARKS), dtype=np.uint8)
+    bits[np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy()), marks.flatten().to_numpy()] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _allowed(size: np.ndarray, sole: np.ndarray, masks: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether what two sets may have in common allows the similarity.
+
+    Not common are the shingles that only one open set has (``sole``) and, for each mark that the other set lacks, one
+    shingle at least."""
+    common = [size[one] - sole[one] for one in (left, right)]
+    for mask in masks:
+        for k, (one, other) in enumerate(((left, right), (right, left))):
+            common[k] -= np.bitwise_count(mask[one] & ~mask[other])
+    most = np.minimum(*common)
+    return most >= similarity * (size[left] + size[right] - most) - 1e-9
+
+
+def _near(
+    at: np.ndarray, row: np.ndarray, root: np.ndarray, checked: np.ndarray, similarity: float, few: int | None, sole: np.ndarray | None = None, masks: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of whole buckets, sorted by ``at`` (home and size of the set): candidates (a, b), and rows that have others too."""
     # In a bucket a set meets those after it that are not too large to be similar.
     most = np.floor((at & 0xFFFFFFFF) / similarity + 1e-6).astype(np.int64)
@@ -142,15 +173,20 @@ def _near(at: np.ndarray, row: np.ndarray, root: np.ndarray, checked: np.ndarray
             bits += np.bitwise_count(word[left] ^ word[right])
         near = bits <= RADIUS[len(checked)]
         left, right, bits = left[near], right[near], bits[near]
+        if sole is not None:
+            fit = _allowed(at & 0xFFFFFFFF, sole, masks, left, right, similarity)
+            left, right, bits = left[fit], right[fit], bits[fit]
         more = np.empty(0, dtype=np.int64)
         if few is not None and len(left):
             over = np.bincount(left)[left] > few
             more = np.unique(row[np.concatenate([left[over], right[over]])])
             take = ~over
             # Of many candidates, the least row and the one with the nearest fingerprint.
+            early = at[left] >> 32 + 12 + SPARE < FIRST
             for rank in (row[right], bits):
                 order = np.lexsort((row[right], rank, left))
-                take[order[np.flatnonzero(np.diff(left[order], prepend=-1))]] = True
+                best = order[np.flatnonzero(np.diff(left[order], prepend=-1))]
+                take[best] |= early[best]
             left, right = left[take], right[take]
         a, b = row[left], row[right]
         if len(a):
@@ -159,29 +195,37 @@ def _near(at: np.ndarray, row: np.ndarray, root: np.ndarray, checked: np.ndarray
         yield a, b, more
 
 
-def _candidates(nodes: DataFrame, similarity: float, words: int, few: int | None = None) -> DataFrame:
+def _candidates(nodes: DataFrame, similarity: float, words: int, few: int | None = None, codes: tuple[int, int] = (0, 2 * WORDS)) -> DataFrame:
     """(a, b): rows that share a home and may be similar, of different roots.  With ``few``, at most that many a row
-    and home; rows where these are not all are a with a null b.  One shuffle, by home."""
-    schema, arrow = arrow_schema("at long, row long, root long, " + ", ".join(f"f{k} long" for k in range(words)))
+    and home; rows where these are not all are a with a null b.  Nodes with sole and marks (see ``_rare``) are held to
+    these too.  Homes are those of the codes from the one to before the other.  One shuffle, by home."""
+    first, end = codes
+    marked = "marks" in nodes.columns
+    extra = ["sole", *(f"m{k}" for k in range(MARKS // 64))] if marked else []
+    names = ["at", "row", "root", *(f"f{k}" for k in range(words)), *extra]
+    schema, arrow = arrow_schema(", ".join(f"{name} long" for name in names))
     out_schema, out_arrow = arrow_schema("a long, b long")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                batch = whole.slice(k, 1024)
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
                 fps = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
                 size = np.minimum(batch.column(2).to_numpy(), 0xFFFFFFFF)
-                at = (keys(fps) << 32 | size[:, None]).ravel()
+                at = (keys(fps)[:, first:end] << 32 | size[:, None]).ravel()
                 columns = [batch.column(c).to_numpy() for c in range(2)] + [fps[:, c].view(np.int64) for c in range(words)]
-                yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.repeat(c, 2 * WORDS)) for c in columns)], schema=arrow)
+                if marked:
+                    columns += [batch.column(4).to_numpy(), *_masks(batch.column(5)).T.copy().view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.repeat(c, end - first)) for c in columns)], schema=arrow)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         rows, last = 0, None
 
         def run(parts):
-            at, row, root, *checked = (np.concatenate(x) for x in zip(*parts))
-            for a, b, more in _near(at, row, root, np.array(checked).view(np.uint64), similarity, few):
+            at, row, root, *rest = (np.concatenate(x) for x in zip(*parts))
+            checked, rare = np.array(rest[:words]).view(np.uint64), rest[words:]
+            for a, b, more in _near(at, row, root, checked, similarity, few, *([rare[0], np.array(rare[1:]).view(np.uint64)] if marked else [])):
                 if len(a) or len(more):
                     ends = pa.concat_arrays([pa.array(b), pa.nulls(len(more), pa.int64())])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, more])), ends], schema=out_arrow)
@@ -189,9 +233,9 @@ def _candidates(nodes: DataFrame, similarity: float, words: int, few: int | None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = tuple(batch.column(k).to_numpy() for k in range(3 + words))
+            columns = tuple(batch.column(k).to_numpy() for k in range(len(names)))
             homes_ = columns[0] >> 32
-            if rows > 1 << 18 and homes_[-1] != last:
+            if rows * len(names) > 1 << 21 and homes_[-1] != last:
                 # Whole buckets go out; the batch's last bucket may go on in the next batch.
                 cut = int(np.searchsorted(homes_, homes_[-1]))
                 yield from run([*held, tuple(c[:cut] for c in columns)])
@@ -203,10 +247,31 @@ def _candidates(nodes: DataFrame, similarity: float, words: int, few: int | None
         if held:
             yield from run(held)
 
-    spreaded = nodes.select("row", "root", "size", "fp").where(f"size >= {LEAST}").mapInArrow(spread, schema)
+    spreaded = nodes.select("row", "root", "size", "fp", *(["sole", "marks"] if marked else [])).where(f"size >= {LEAST}").mapInArrow(spread, schema)
     return spreaded.repartition(F.shiftright("at", 32)).sortWithinPartitions("at").mapInArrow(compare, out_schema)
 
 
+def _rare(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, sole, marks) of the rows that have rare shingles: how many that none of the others has, and the marks of
+    those that at most ``RARE`` have."""
+
+    def make():
+        def work(batch):
+            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            return {"row": np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets]), "hash": np.concatenate(sets).view(np.int64)}
+
+        return work
+
+    needed = texts.select("row", "text").join(rows.hint("merge"), "row", "left_semi")
+    shingles = scratch.keep(map_batches(needed, make, "row long, hash long"), "shingles")
+    held = shingles.groupBy("hash").agg(F.count("*").alias("n")).where(f"n <= {RARE}")
+    mark = F.when(F.col("n") > 1, F.pmod(F.shiftright("hash", 20), F.lit(MARKS)).cast("int"))
+    rare = shingles.join(held.hint("merge"), "hash").groupBy("row").agg(F.count_if(F.col("n") == 1).alias("sole"), F.collect_set(mark).alias("marks"))
+    rare = scratch.keep(rare, "rare")
+    scratch.drop("shingles")
+    return rare
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of rows whose shingle sets are similar."""
     pairs = scratch.keep(pairs.distinct(), f"{name}_pairs")
@@ -248,15 +313,28 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     first = _sketches(texts).groupBy("key").agg(F.min(F.struct(*order, "size", "fp")).alias("x"))
     nodes = scratch.keep(first.select("x.row", "x.doc_id", "x.size", "x.fp"), "nodes")
 
-    found = scratch.keep(_candidates(nodes.withColumn("root", F.col("row")), similarity, CHECKED, FEW).distinct(), "found")
+    # Two nodes that the first codes find open need not be told again by the others.
+    found = scratch.keep(_candidates(nodes.withColumn("root", F.col("row")), similarity, CHECKED, FEW, (0, FIRST)).distinct(), "found")
+    known = found.where("b is null").select(F.col("a").alias("row"), F.lit(-1).cast("long").alias("root"))
+    others = nodes.join(known.hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    found = found.unionByName(scratch.keep(_candidates(others, similarity, CHECKED, FEW, (FIRST, 2 * WORDS)).distinct(), "found_others"))
     links = _verified(found.where("b is not null"), texts, similarity, scratch, "first")
-    open_ = scratch.keep(found.where("b is null").select(F.col("a").alias("row")), "open")
-    if not open_.isEmpty():
-        # What the few have not connected, in full.
-        roots = scratch.keep(connected_components(links, scratch), "roots").withColumnRenamed("node", "row")
-        left = nodes.join(open_.hint("merge"), "row", "left_semi").join(roots.hint("merge"), "row", "left")
-        rest = _candidates(left.withColumn("root", F.coalesce("root", "row")), similarity, CLOSER)
-        links = links.unionByName(_verified(rest, texts, similarity, scratch, "more"))
+    open_ = scratch.keep(found.where("b is null").select(F.col("a").alias("row")).distinct(), "open")
+    # What the few have not connected: the nearest of it, then all of it.
+    rare, steps = None, []
+    for few in (FEW, None):
+        if open_.isEmpty():
+            break
+        rare = rare or _rare(open_, texts, scratch)
+        step = Scratch(docs.sparkSession, "near_copies")
+        steps.append(step)
+        roots = step.keep(connected_components(links, step), "roots").withColumnRenamed("node", "row")
+        left = nodes.join(open_.hint("merge"), "row", "left_semi").join(roots.hint("merge"), "row", "left").join(rare.hint("merge"), "row", "left")
+        left = left.withColumn("root", F.coalesce("root", "row")).withColumn("sole", F.coalesce("sole", F.lit(0))).withColumn("marks", F.coalesce("marks", F.array().cast("array<int>")))
+        found = step.keep(_candidates(left, similarity, CLOSER, few).distinct(), "found")
+        links = links.unionByName(_verified(found.where("b is not null"), texts, similarity, step, "more"))
+        open_ = step.keep(found.where("b is null").select(F.col("a").alias("row")), "open")
+        step.drop("roots", "found")
 
     again = Scratch(docs.sparkSession, "near_copies")
     roots = again.keep(connected_components(links, again), "roots")
@@ -264,6 +342,8 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     best = linked.groupBy("root").agg(F.min(F.struct(*order)).alias("x")).select("x.row")
     alone = nodes.select("row").join(roots.hint("merge"), nodes["row"] == roots["node"], "left_anti")
     kept = again.keep(alone.unionByName(best), "kept")
-    scratch.drop("nodes", "found", "open", "first_links", "more_links", "roots")
+    scratch.drop("nodes", "found", "found_others", "open", "rare", "first_links")
+    for step in steps:
+        step.drop("open", "more_links")
     again.drop("roots")
     return numbered.join(kept.hint("merge"), numbered[number] == kept["row"], "left_semi").drop(number)

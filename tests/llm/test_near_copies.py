@@ -152,3 +152,30 @@ def test_more_near_copies_than_are_compared_at_first(spark):
     want = brute_kept(data)
     assert 2 < len(want) < 100
     assert kept(spark, data) == want
+
+
+def test_verified_pairs_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """A large group of texts about a base, many of which are candidates but not similar; some share an edit."""
+    counts = []
+    verified = near_copies._verified
+
+    def counted(pairs, *rest):
+        counts[-1] += pairs.distinct().count()
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    rng = random.Random(14)
+    base = [f"w{rng.getrandbits(20)}" for _ in range(150)]
+    data = []
+    for k in range(640):
+        words = edited(rng, base, rng.randint(1, 7))
+        if k % 3 == 0:
+            words[rng.randrange(150)] = f"y{rng.randrange(4)}"
+        data.append((k, " ".join(words)))
+    for n in (320, 640):
+        counts.append(0)
+        want = brute_kept(data[:n])
+        assert n / 4 < len(want) < n
+        assert kept(spark, data[:n]) == want
+    assert counts[1] < 3 * counts[0]
+    assert counts[1] < 640 * 639 / 2 / 4
