@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeseek.operators import folding
 from lodeseek.operators import postings as P
 from lodeseek.plans.spec import FieldRule, IndexSpec
+from lodeseek.sources import segments
 
 
 def _brute(rows):
@@ -78,3 +79,33 @@ def test_caps_cut_batches_before_they_are_sorted(spark):
     assert {tuple(r) for r in P.posting_cap(rows, 20).collect()} == newest(0)
     assert {tuple(r) for r in P.posting_cap(rows, 20, 100).collect()} == newest(100)
     assert {tuple(r) for r in P.posting_cap(rows, 2500, 100).collect()} == {(t, d) for t, d in data if t == "é"} | {("often", d) for d in sorted((d for t, d in data if t == "often" and d is not None), reverse=True)[:2500]}
+
+
+def test_compaction_ranks_the_terms_beyond_its_cap_only(spark, tmp_path, monkeypatch):
+    """Under a cap that hardly any term exceeds, all postings were shuffled by term and ranked."""
+    ranked = []
+    monkeypatch.setattr(segments, "LARGE_CAP", 3)
+    monkeypatch.setattr(segments, "cap_postings", lambda rows, most: ranked.append({r.term for r in rows.collect()}) or P.cap_postings(rows, most))
+    index = segments.SegmentedIndex(spark, str(tmp_path / "i"))
+    for texts in ({d: "a b c" if d % 2 else "a" for d in range(6)}, {5: "a z", 6: "z"}):
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        index.add(P.term_positions(docs), docs.select("doc_id"))
+    index.compact(most=3, deleted=spark.createDataFrame([(4,)], "doc_id long"))
+    assert ranked == [{"a"}]
+    assert {(r.term, r.doc_id) for r in index.read().collect()} == {("a", 5), ("a", 3), ("a", 2), ("b", 1), ("b", 3), ("c", 1), ("c", 3), ("z", 5), ("z", 6)}
+
+
+def test_superseding_and_deleting_leave_postings_in_place(spark, tmp_path):
+    """Beyond the session's limit of broadcasts, all postings were shuffled by document."""
+    index = segments.SegmentedIndex(spark, str(tmp_path / "i"))
+    for ids in (range(6), range(3)):
+        docs = spark.createDataFrame([(d, "a b") for d in ids], "doc_id long, text string")
+        index.add(P.term_positions(docs), docs.select("doc_id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.read()._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert index.read().count() == 12
